@@ -13,6 +13,7 @@ from .flow import empty, first_where, let
 
 WINDOW = "struct<off:bigint,len:bigint,data:binary>"
 WINDOWS = f"array<{WINDOW}>"
+UUID_HEX = "75756964"
 BOX = "struct<typ:string,start:bigint,size:bigint,data_start:bigint,data_end:bigint>"
 
 
@@ -25,11 +26,13 @@ def window(off: Column, data: Column) -> Column:
 
 
 def usable_windows(wins: Column) -> Column:
-    """Drop empty windows; also detaches the bytes from the row so that later slices are cheap."""
-    kept = F.filter(wins, lambda w: w["len"] > 0)
+    """Drop empty windows and note where each ends; also detaches the bytes from the row, so that
+    later slices are cheap."""
     return F.transform(
-        kept,
-        lambda w: F.struct(w["off"].alias("off"), w["len"].alias("len"), w["data"].alias("data")),
+        F.filter(wins, lambda w: w["len"] > 0),
+        lambda w: F.struct(
+            w["off"].alias("off"), (w["off"] + w["len"]).alias("end"), w["data"].alias("data")
+        ),
     )
 
 
@@ -38,45 +41,37 @@ def long(value: int | Column) -> Column:
 
 
 def read_at(wins: Column, off: Column, n: int | Column) -> Column:
-    """``n`` bytes at ``off`` from the first window that holds all of them, else NULL."""
-    size = long(n)
-    covering = F.filter(
-        wins,
-        lambda w: (size > 0) & (off >= w["off"]) & (off - w["off"] <= w["len"] - size),
-    )
+    """``n`` bytes at ``off`` from the first window that holds all of them, else NULL.
+
+    ``wins`` comes from ``usable_windows``.
+    """
+    fits = lambda w: (off >= w["off"]) & (off + n <= w["end"])
+    if not isinstance(n, int):
+        fits = lambda w: (n > 0) & (off >= w["off"]) & (off + n <= w["end"])
+        n = n.cast("int")
     return F.get(
         F.transform(
-            covering,
-            lambda w: F.substring(
-                w["data"], (off - w["off"] + 1).cast("int"), size.cast("int")
-            ),
+            F.filter(wins, fits),
+            lambda w: F.substring(w["data"], (off - w["off"] + 1).cast("int"), n),
         ),
-        F.lit(0),
+        0,
     )
 
 
-def read_upto(wins: Column, off: Column, n: Column) -> Column:
+def read_upto(wins: Column, off: Column, n: int | Column) -> Column:
     """The bytes at ``off`` that the window holding that byte can give, at most ``n``."""
-    covering = F.filter(wins, lambda w: (off >= w["off"]) & (off < w["off"] + w["len"]))
+    most = n if isinstance(n, int) else F.least(n, long(2**31 - 1)).cast("int")
     return F.get(
         F.transform(
-            covering,
-            lambda w: F.substring(
-                w["data"],
-                (off - w["off"] + 1).cast("int"),
-                F.least(n, w["len"]).cast("int"),
-            ),
+            F.filter(wins, lambda w: (off >= w["off"]) & (off < w["end"])),
+            lambda w: F.substring(w["data"], (off - w["off"] + 1).cast("int"), most),
         ),
-        F.lit(0),
+        0,
     )
 
 
 def has(wins: Column, off: Column, n: int | Column) -> Column:
-    size = long(n)
-    return F.exists(
-        wins,
-        lambda w: (size > 0) & (off >= w["off"]) & (off - w["off"] <= w["len"] - size),
-    )
+    return F.exists(wins, lambda w: (n > 0) & (off >= w["off"]) & (off + n <= w["end"]))
 
 
 def uint(data: Column) -> Column:
@@ -140,7 +135,7 @@ def blob(literal: bytes) -> Column:
 
 def starts_with(wins: Column, off: Column | int, literal: bytes) -> Column:
     """True only when the bytes are visible and equal."""
-    at = long(off)
+    at = off if isinstance(off, Column) else F.lit(off)
     return F.coalesce(read_at(wins, at, len(literal)) == blob(literal), F.lit(False))
 
 
@@ -204,76 +199,58 @@ def box_at(wins: Column, pos: Column, limit: Column) -> Column:
     """The box header at ``pos`` inside a region ending at ``limit``; NULL when impossible.
 
     Size 0 runs to the end of the region, size 1 announces a 64-bit size, and a ``uuid`` box has
-    16 more header bytes.
+    16 more header bytes. ``pos`` should be a plain name or a bound value.
     """
 
-    def sized(head: Column) -> Column:
-        short = uint(part(head, 0, 4))
+    def sized(hexed: Column) -> Column:
+        """Fields from the header as hex: 8 digits size, 8 digits type, 16 digits long size."""
+        number = lambda at, n: F.conv(F.substring(hexed, at, n), 16, 10).try_cast("bigint")
+        short = number(1, 8)
         return let(
-            F.struct(short.alias("short"), latin1(part(head, 4, 4)).alias("typ")),
-            lambda h: let(
+            F.struct(
+                F.when(short >= 8, short)
+                .when(short == 1, number(17, 16))
+                .when(short == 0, limit - pos)
+                .alias("size"),
+                (
+                    F.when(short == 1, 16).otherwise(8)
+                    + F.when(F.substring(hexed, 9, 8) == UUID_HEX, 16).otherwise(0)
+                ).alias("hdr"),
+                F.char_length(hexed).alias("digits"),
+                latin1(F.unhex(F.substring(hexed, 9, 8))).alias("typ"),
+            ),
+            lambda h: F.when(
+                (h["hdr"] <= h["size"]) & (h["size"] <= limit - pos) & (h["digits"] >= h["hdr"] * 2),
                 F.struct(
                     h["typ"].alias("typ"),
-                    F.when(h["short"] == 0, limit - pos)
-                    .when(h["short"] == 1, u64(wins, pos + 8))
-                    .when(h["short"] >= 8, h["short"])
-                    .alias("size"),
-                    (
-                        F.when(h["short"] == 1, long(16)).otherwise(long(8))
-                        + F.when(h["typ"] == "uuid", long(16)).otherwise(long(0))
-                    ).alias("hdr"),
+                    pos.alias("start"),
+                    h["size"].alias("size"),
+                    (pos + h["hdr"]).alias("data_start"),
+                    (pos + h["size"]).alias("data_end"),
                 ),
-                checked,
             ),
         )
 
-    def checked(h: Column) -> Column:
-        extra_visible = (h["typ"] != "uuid") | has(wins, pos + h["hdr"] - 16, 16)
-        fits = (h["hdr"] <= h["size"]) & (h["size"] <= limit - pos)
-        return F.when(
-            F.coalesce(fits & extra_visible, F.lit(False)),
-            F.struct(
-                h["typ"].alias("typ"),
-                pos.alias("start"),
-                h["size"].alias("size"),
-                (pos + h["hdr"]).alias("data_start"),
-                (pos + h["size"]).alias("data_end"),
-            ),
-        )
-
-    return F.when(pos <= limit - 8, let(read_at(wins, pos, 8), sized))
+    return F.when(pos <= limit - 8, let(F.hex(read_upto(wins, pos, 32)), sized))
 
 
 def walk_boxes(wins: Column, start: Column, limit: Column, steps: int = 25) -> Column:
     """Sibling boxes from ``start`` until the region ends or a header makes no sense (B2)."""
-    zero = F.struct(
-        start.alias("pos"), empty(BOX).alias("out"), F.lit(False).alias("stopped")
-    )
+    zero = F.struct(start.alias("pos"), empty(BOX).alias("out"))
 
     def step(acc: Column, _i: Column) -> Column:
-        return F.when(acc["stopped"] | (acc["pos"] >= limit), acc).otherwise(
+        return F.when(
+            acc["pos"] < limit,
             let(
                 box_at(wins, acc["pos"], limit),
-                lambda b: F.when(
-                    b.isNull(),
-                    F.struct(
-                        acc["pos"].alias("pos"),
-                        acc["out"].alias("out"),
-                        F.lit(True).alias("stopped"),
-                    ),
-                ).otherwise(
-                    F.struct(
-                        b["data_end"].alias("pos"),
-                        F.concat(acc["out"], F.array(b)).alias("out"),
-                        F.lit(False).alias("stopped"),
-                    )
+                lambda b: F.struct(
+                    b["data_end"].alias("pos"),
+                    F.concat(acc["out"], F.array_compact(F.array(b))).alias("out"),
                 ),
-            )
-        )
+            ),
+        ).otherwise(acc)
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), zero, step, lambda acc: acc["out"]
-    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step, lambda acc: acc["out"])
 
 
 def child(boxes: Column, typ: str) -> Column:

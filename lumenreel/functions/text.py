@@ -21,19 +21,34 @@ EXIF_DATE = r"^(\d{4}:\d{2}:\d{2})[ T](\d{2}:\d{2}:\d{2})"
 DATE_PATTERN = "yyyy-MM-dd HH:mm"
 
 
+def _tenths(value: Column) -> Column:
+    """``value`` (1 to 1000) in tenths, rounded half up on its exact binary value."""
+    whole = F.floor(value)
+    bits = ((value - whole) * F.lit(2.0**52)).cast("bigint")
+    return whole * 10 + F.shiftright(bits * 20 + F.lit(2**52), 53)
+
+
 def format_bytes(size: Column) -> Column:
     """Base-1000 size text: one decimal below 100, none for bytes or from 100 up (F1)."""
     value = size.cast("double")
-    text = F.format_string("%.0f B", value)
-    for power, unit in enumerate(UNITS[1:], start=1):
-        scaled = value / F.lit(1000.0**power)
-        text = F.when(
-            value >= 1000.0**power,
-            F.when(scaled >= 100, F.format_string(f"%.0f {unit}", scaled)).otherwise(
-                F.format_string(f"%.1f {unit}", scaled)
-            ),
-        ).otherwise(text)
-    return F.when(value > 0, text).otherwise("0 B")
+    text = None
+    for unit in UNITS:
+        if unit == "B":
+            shown = F.concat(F.floor(value + 0.5).cast("string"), F.lit(" B"))
+        else:
+            tenths = _tenths(value)
+            shown = F.when(
+                value < 100,
+                F.concat_ws(".", F.floor(tenths / 10).cast("string"), (tenths % 10).cast("string")),
+            ).otherwise(F.floor(value + 0.5).cast("string"))
+            shown = F.concat(shown, F.lit(f" {unit}"))
+        last = unit == UNITS[-1]
+        if text is None:
+            text = F.when(value < 1000, shown)
+        else:
+            text = text.otherwise(shown) if last else text.when(value < 1000, shown)
+        value = value / 1000
+    return F.when(size > 0, text).otherwise("0 B")
 
 
 def format_duration(ms: Column) -> Column:

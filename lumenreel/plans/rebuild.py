@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import be, blob, int_table, long
 from ..functions.codecs import int_div
-from ..functions.flow import empty, let
+from ..functions.flow import let
 from ..operators.placement import (
     chunk_bytes, chunk_first_sample, chunk_samples_per, even_chunk_bytes, media_spans,
 )
-from .routes import PART, SCAN_LIMIT, span
+from ..structures.movie import SUMMARY
+from .routes import PART, RANGE, SCAN_LIMIT, span
 
 KEYS = ["file_id", "start"]
+REBUILT = (
+    f"struct<state:string,parts:array<{PART}>,span:{RANGE},summary:{SUMMARY},reason:string,"
+    f"need:{RANGE}>"
+)
 
 # The header that opens a rebuilt clip, and limits and texts of the route.
 REBUILT_FTYP = b"\x00\x00\x00\x20ftypisom\x00\x00\x00\x00isomiso2avc1mp41"
@@ -218,7 +223,3 @@ def resolve_tables(rows: DataFrame) -> DataFrame:
         F.when(F.col("state") == "need", span(need_off, need_len)).alias("need"),
     )
     return joined.withColumn("rebuilt", rebuilt).drop("state", "pick", "reason")
-
-
-def no_parts() -> Column:
-    return empty(PART)

@@ -110,7 +110,7 @@ def structure_steps() -> list[Step]:
         return {
             "sniffed": containers.sniff(e["wins"]),
             "head": F.coalesce(F.get(e["wins"], F.lit(0))["data"], F.lit(bytearray())),
-            "head_end": F.get(e["wins"], F.lit(0))["off"] + F.get(e["wins"], F.lit(0))["len"],
+            "head_end": F.get(e["wins"], 0)["end"],
         }
 
     def top(e: Env) -> Env:

@@ -8,13 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytes import WINDOW, long, window
-from ..functions.flow import null
+from ..functions.bytes import WINDOW, long, usable_windows, window
+from ..functions.flow import let, null
 from ..operators.merge import merge_stages, upsert
 from ..session import materialise
 from ..structures.containers import sniff
-from ..functions.bytes import usable_windows
-from ..functions.flow import let
 from . import outcome, rebuild, routes
 
 
@@ -85,10 +83,11 @@ def _read(df: DataFrame, reader: Reader) -> DataFrame:
 
 def _settle(rows: DataFrame) -> DataFrame:
     """Add ``rebuilt``: a real one for sample-table rows, NULL for the others."""
-    tables = rebuild.resolve_tables(rows.filter(F.col("clip.attempt") == "tables"))
-    rest = rows.filter(F.col("clip.attempt") != "tables")
-    ddl = tables.schema["rebuilt"].dataType
-    return rest.withColumn("rebuilt", F.lit(None).cast(ddl)).unionByName(tables)
+    is_open = F.col("clip.attempt") == "tables"
+    closed = rows.filter(~is_open).withColumn("rebuilt", null(rebuild.REBUILT))
+    if rows.filter(is_open).isEmpty():
+        return closed
+    return closed.unionByName(rebuild.resolve_tables(rows.filter(is_open)))
 
 
 def probe_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]) -> DataFrame:
@@ -137,8 +136,10 @@ def probe_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]
     result = F.when(
         F.col("read_error").isNotNull(), outcome.unread_result(F.col("read_error"))
     ).otherwise(outcome.probe_result())
-    return settled.withColumn("result", result).drop(
-        "found", "exif", "tables", "cand", "clip", "rebuilt", "video", "last_len"
+    return materialise(
+        settled.withColumn("result", result).drop(
+            "found", "exif", "tables", "cand", "clip", "rebuilt", "video", "last_len"
+        )
     )
 
 
@@ -189,7 +190,9 @@ def window_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str
     merged = F.when(F.col("read_error").isNotNull(), outcome.unread_result(F.col("read_error"))).otherwise(
         merge_stages(F.col("result"), outcome.region_result())
     )
-    return settled.withColumn("result", merged).drop("clip", "rebuilt", "video", "seen_container")
+    return materialise(
+        settled.withColumn("result", merged).drop("clip", "rebuilt", "video", "seen_container")
+    )
 
 
 def scan(

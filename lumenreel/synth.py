@@ -289,3 +289,95 @@ def _content(front: bool) -> Column:
 def whole_windows(files: DataFrame) -> DataFrame:
     """Files with one window over everything."""
     return files.withColumn("wins", F.array(window(F.lit(0), F.col("content"))))
+
+
+# -- library rows by formula ----------------------------------------------------------------------
+
+LIBRARY_EXTENSIONS = ["jpg", "mov", "HEIC", "MP4", "txt", "jpeg", "Mov", "png", "heic"]
+
+
+def library_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One listed file per document. A third of all names share the stem ``IMG_0001``."""
+    doc = F.col("doc_id")
+    extension = F.element_at(
+        F.array(*[F.lit(e) for e in LIBRARY_EXTENSIONS]),
+        (doc % len(LIBRARY_EXTENSIONS) + 1).cast("int"),
+    )
+    stem = F.when(doc % 3 == 0, "0001").otherwise(F.floor(doc / 6).cast("string"))
+    name = (
+        F.when(doc % 40 == 7, "Thumbs.db").when(doc % 50 == 9, ".jpg").when(doc % 60 == 11, "NOEXT")
+        .otherwise(
+            F.concat(
+                F.when(doc % 25 == 4, "._").otherwise(""), F.lit("IMG_"), stem, F.lit("."), extension
+            )
+        )
+    )
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", "n_chars",
+        doc.alias("list_ord"),
+        name.alias("name"),
+        F.when(doc % 10 != 3, F.concat_ws("/", "source", "lang", name)).alias("path"),
+        (F.col("n_chars") % 10 * 1000 + 500).alias("size"),
+        (doc * 60_000 + MTIME_BASE_MS).alias("mtime_ms"),
+    )
+
+
+def library_catalog(entries: DataFrame) -> DataFrame:
+    """Scan results by formula for entries that still carry doc_id, lang, source and n_chars."""
+    doc, n = F.col("doc_id"), F.col("n_chars")
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+    failed = doc % 17 == 3
+    taken = F.date_format(F.timestamp_seconds(doc * 3600 + 1_577_836_800), "yyyy:MM:dd HH:mm:ss")
+    thumb = F.when(
+        doc % 6 == 1,
+        F.struct(
+            F.lit(20).cast("bigint").alias("off"), (n % 50).alias("len"),
+            F.when(doc % 4 != 0, (doc % 4).cast("int")).alias("orientation"),
+        ),
+    )
+    still = F.struct(
+        F.lit("image/jpeg").alias("mime"),
+        F.when(doc % 13 != 0, (doc % 3000 + 100).cast("int")).alias("width"),
+        (doc % 2000 + 50).cast("int").alias("height"),
+        F.when(doc % 3 != 0, n).alias("length"),
+        thumb.alias("thumb"),
+    )
+    motion = F.struct(
+        (doc % 5 != 1).alias("found"),
+        pick(["samsung", "google", "heif-item", "unknown"], doc % 4).alias("family"),
+        F.lit("container").alias("method"), F.lit("exact").alias("confidence"),
+        F.struct((n % 1000).alias("off"), n.alias("len")).alias("video"),
+        F.when(doc % 3 == 1, doc * 1000).alias("timestamp_us"),
+        doc.isNotNull().alias("_unused"),
+        (doc % 5).isin(2, 3).alias("playable"),
+        F.when(doc % 3 != 2, pick(["avc1.42E01E", "hvc1.1.6.L93.90", ""], doc % 3)).alias("codec"),
+        F.lit(640).alias("width"), F.lit(480).alias("height"),
+        F.when(doc % 9 != 0, (doc % 200) * 1000 - 500).alias("duration_ms"),
+        F.when(doc % 20 == 4, "reading the video header").alias("reason"),
+    ).dropFields("_unused")
+    return entries.withColumns(
+        {
+            "status": F.when(failed, "failed").when(doc % 31 == 5, "pending").otherwise("ok"),
+            "error": F.when(doc % 34 == 3, "disk error"),
+            "kind": F.when(F.col("family_ext") == "video", "video").otherwise(pick(["motion", "photo"], doc % 2)),
+            "container": pick(["jpeg", "heif", "avif", "mp4", "png"], doc % 5),
+            "still": F.when(doc % 11 != 0, still),
+            "motion": F.when(doc % 5 != 0, motion),
+            "meta": F.struct(
+                F.when(doc % 4 != 1, F.upper("lang")).alias("make"),
+                F.when(doc % 3 == 0, "").otherwise(F.col("source")).alias("model"),
+                F.lit(None).cast("string").alias("software"), F.lit(None).cast("string").alias("lens"),
+                F.when(doc % 19 == 0, None).when(doc % 7 == 0, "not a date")
+                .when(doc % 23 == 1, F.lit("2020:13:41 10:00:00"))
+                .when(doc % 2 == 0, F.replace(taken, F.lit(" "), F.lit("T"))).otherwise(taken).alias("taken_at"),
+                (doc % 9).cast("int").alias("orientation"),
+            ),
+            "markers": F.when(doc % 8 == 0, F.array(F.lit("MotionPhoto_Data")))
+            .when(doc % 8 == 1, F.array(F.lit("Camera:MotionPhoto"), F.lit("MotionPhoto_Data_x")))
+            .otherwise(F.array().cast("array<string>")),
+            "stats": F.when(
+                ~failed,
+                F.struct((doc % 4).cast("int").alias("reads"), n.alias("bytes_read"), F.lit(1).alias("passes")),
+            ),
+        }
+    )
