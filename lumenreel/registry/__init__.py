@@ -1,8 +1,8 @@
 """Queries by name, each with the SQL that gives the same answer where SQL can."""
 
-from . import library
+from . import library, structures
 
-_MODULES = [library]
+_MODULES = [library, structures]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -212,7 +212,7 @@ on_catalog(
 
 # -- order and pages --------------------------------------------------------------------------------
 
-NATURAL = """list_transform(regexp_extract_all(path, '[0-9]+|[^0-9]+'), x -> CASE WHEN regexp_matches(x, '^[0-9]')
+NATURAL = """list_transform(regexp_extract_all(path, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]')
   THEN lpad(CAST(length(regexp_replace(x, '^0+(.)', '\\1')) AS VARCHAR), 5, '0') || regexp_replace(x, '^0+(.)', '\\1') ELSE x END)"""
 NATURAL_TEXT = f"replace(replace(array_to_string({NATURAL}, ''), '_', ' '), '.', '!')"
 ORDERS = {
