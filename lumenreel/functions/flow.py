@@ -87,7 +87,17 @@ def step_columns(
         made.append((name, let(named(seen), body)))
         seen = {**seen, **{key: F.col(name)[key] for key in fresh}}
     final = let(named(seen), lambda bound: result({key: bound[key] for key in seen}))
-    return [*made, (out, final)]
+    return [*made, (out, fence(final))]
+
+
+def fence(value: Column) -> Column:
+    """The same value, but never duplicated by the optimizer.
+
+    A filter above a projection is pushed below it by copying the expressions it reads, step by
+    step, which multiplies a long chain. A test on the partition id, always true but not known to be
+    so, keeps the chain in one place.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def apply_steps(df: DataFrame, steps: list[Step]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import synth
 from ..functions import bytes as by
 from ..functions import codecs, text
-from ..functions.flow import apply_steps, cached_steps, let
+from ..functions.flow import apply_steps, cached_steps, fence, let
 from ..structures import containers, items, jpeg, movie, packets, trailer
 
 QUERIES: dict = {}
@@ -59,7 +59,7 @@ def media(spark: SparkSession, sf: str) -> DataFrame:
 
 def on_windows(build) -> Column:
     """``build(wins, size)`` over the windows of each row, bound once."""
-    return let(by.usable_windows(F.col("wins")), lambda w: build(w, F.col("size")))
+    return fence(let(by.usable_windows(F.col("wins")), lambda w: build(w, F.col("size"))))
 
 
 def bound_windows() -> Column:
@@ -139,7 +139,7 @@ def _(m: DataFrame) -> DataFrame:
 )
 def _(m: DataFrame) -> DataFrame:
     at = F.coalesce(
-        on_windows(lambda w, n: by.find_in_windows(w, "isommp42", 1))[0] - 16, by.long(0)
+        F.get(on_windows(lambda w, n: by.find_in_windows(w, "isommp42", 1)), 0) - 16, by.long(0)
     )
     opens = on_windows(lambda w, n: containers.starts_media_box(w, F.col("at"), n - F.col("at")))
     return m.withColumn("at", at).select("doc_id", opens.alias("opens"))
