@@ -1,8 +1,8 @@
 """Queries by name, each with the SQL that gives the same answer where SQL can."""
 
-from . import library, structures
+from . import library, scans, structures, tables
 
-_MODULES = [library, structures]
+_MODULES = [library, structures, tables, scans]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

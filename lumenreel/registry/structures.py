@@ -325,10 +325,10 @@ def _(m: DataFrame) -> DataFrame:
 
 @query(
     "movie_boxes",
-    """SELECT doc_id, v.depth, v.typ, moov_off + v.at AS start, v.len + v.per * c AS size FROM clips, (VALUES
+    """SELECT doc_id, v.depth, v.typ, moov_off + v.rel AS start, v.len + v.per * c AS size FROM clips, (VALUES
       (1, 'mvhd', 8, 108, 0), (1, 'trak', 116, 368, 12), (2, 'tkhd', 124, 92, 0), (2, 'mdia', 216, 268, 12),
       (3, 'mdhd', 224, 32, 0), (3, 'hdlr', 256, 33, 0), (3, 'minf', 289, 195, 12), (4, 'stbl', 297, 187, 12),
-      (5, 'stsd', 305, 115, 0), (5, 'stsc', 420, 28, 0), (5, 'stsz', 448, 20, 8)) v(depth, typ, at, len, per)
+      (5, 'stsd', 305, 115, 0), (5, 'stsc', 420, 28, 0), (5, 'stsz', 448, 20, 8)) v(depth, typ, rel, len, per)
     UNION ALL SELECT doc_id, 5, 'stco', moov_off + 468 + 8 * c, 16 + 4 * c FROM clips""",
 )
 def _(m: DataFrame) -> DataFrame:
@@ -389,8 +389,8 @@ def _(m: DataFrame) -> DataFrame:
 
 @query(
     "read_at_windows",
-    """SELECT doc_id, CASE WHEN at + 16 <= least(size, 512) OR at >= greatest(least(size, 512), size - 512) AND at + 16 <= size THEN true ELSE false END AS visible
-      FROM (SELECT doc_id, size, doc_id * 37 % size AS at FROM media)""",
+    """SELECT doc_id, CASE WHEN pos + 16 <= least(size, 512) OR pos >= greatest(least(size, 512), size - 512) AND pos + 16 <= size THEN true ELSE false END AS visible
+      FROM (SELECT doc_id, size, doc_id * 37 % size AS pos FROM media)""",
 )
 def _(m: DataFrame) -> DataFrame:
     head = F.least(F.col("size"), by.long(512))

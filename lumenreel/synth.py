@@ -297,7 +297,12 @@ LIBRARY_EXTENSIONS = ["jpg", "mov", "HEIC", "MP4", "txt", "jpeg", "Mov", "png",
 
 
 def library_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One listed file per document. A third of all names share the stem ``IMG_0001``."""
+    """One listed file per document."""
+    return library_files_from(table(spark, sf_dir, "documents"))
+
+
+def library_files_from(documents: DataFrame) -> DataFrame:
+    """File rows by formula. A third of all names share the stem ``IMG_0001``."""
     doc = F.col("doc_id")
     extension = F.element_at(
         F.array(*[F.lit(e) for e in LIBRARY_EXTENSIONS]),
@@ -312,7 +317,7 @@ def library_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         "doc_id", "lang", "source", "n_chars",
         doc.alias("list_ord"),
         name.alias("name"),
