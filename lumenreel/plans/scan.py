@@ -203,12 +203,13 @@ def scan(
 ) -> DataFrame:
     """Scan ``files`` (file_id, path, name, size, mtime_ms, …) into catalog rows.
 
-    ``carry`` names the columns the reader needs for another pass. Each pass handles only the rows
-    that asked for it and writes its result to the checkpoint folder, so a lost executor repeats
-    one pass at most.
+    ``carry`` names heavy columns that only the reader needs; they stay with unfinished rows and
+    are not part of the result. Each pass handles only the rows that asked for it and writes its
+    result to the checkpoint folder, so a lost executor repeats one pass at most.
     """
-    carry = ["content"] if carry is None else carry
-    plain = [c for c in files.columns if c not in carry or c in ("path",)]
+    if carry is None:
+        carry = [c for c in ("content",) if c in files.columns]
+    plain = [c for c in files.columns if c not in carry]
     start = files.withColumns(
         {
             "head": null(WINDOW), "tail": null(WINDOW),

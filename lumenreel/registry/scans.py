@@ -153,19 +153,29 @@ def _(spark, sf):
     return out
 
 
-@query("scan_narrow_windows", ROUTE_SQL.replace("FROM res", "FROM res WHERE shape IN ('jpeg','png','mp4','jpeg-trailer','jpeg-pointer','jpeg-directory','jpeg-micro')"))
+LABELS = ["doc_id", "kind", "container", "family", "method", "video_off", "video_len"]
+LABELS_SQL = f"SELECT {', '.join(LABELS)} FROM ({ROUTE_SQL})"
+
+
+@query(
+    "scan_narrow_windows",
+    LABELS_SQL.replace(
+        "FROM res",
+        "FROM res WHERE shape IN ('jpeg','png','mp4','jpeg-trailer','jpeg-pointer','jpeg-directory','jpeg-micro')",
+    ),
+)
 def _(spark, sf):
-    """Small windows force the region pass; the routes that name a range must not change."""
+    """Small windows force the further passes; the routes that name a range must not change."""
     kept = ["jpeg", "png", "mp4", "jpeg-trailer", "jpeg-pointer", "jpeg-directory", "jpeg-micro"]
-    return routes(scanned(spark, sf, NARROW).filter(F.col("shape").isin(kept)))
+    return routes(scanned(spark, sf, NARROW).filter(F.col("shape").isin(kept))).select(*LABELS)
 
 
-@query("deep_scan", ROUTE_SQL)
+@query("deep_scan", LABELS_SQL)
 def _(spark, sf):
     """Rescan of the files that small windows left without a plan."""
     files = cat.to_entries(synth.media_files(synth.document_rows(spark, sf)).drop("file_id"))
     narrow = scanned(spark, sf, NARROW)
-    return routes(deep_scan(narrow, F.col("plan").isNull(), files, content_reader))
+    return routes(deep_scan(narrow, F.col("plan").isNull(), files, content_reader)).select(*LABELS)
 
 
 # -- streams ----------------------------------------------------------------------------------------

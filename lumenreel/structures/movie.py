@@ -79,20 +79,17 @@ def _levels() -> list:
 def movie_box_steps(env: Env, out: str = "tree") -> list[Step]:
     """Flat box rows ``(depth, parent_start, box)`` under the ``moov`` boxes of ``roots``."""
 
-    def rows(e: Env) -> Column:
-        return F.concat(
-            *[
-                F.transform(
-                    e[f"l{d}"],
-                    lambda x, depth=d: F.struct(
-                        F.lit(depth).alias("depth"), x["parent"].alias("parent_start"),
-                        x["box"].alias("box"),
-                    ),
-                )
-                for d in range(1, 6)
-            ]
+    def at_depth(level: Column, depth: int) -> Column:
+        return F.transform(
+            level,
+            lambda x: F.struct(
+                F.lit(depth).alias("depth"), x["parent"].alias("parent_start"), x["box"].alias("box")
+            ),
         )
 
+    def rows(e: Env) -> Column:
+        return F.concat(*[at_depth(e[f"l{d}"], d) for d in range(1, 6)])
+
     return step_columns(env, *_levels(), out=out, result=rows)
 
 
