@@ -407,18 +407,6 @@ def _(m: DataFrame) -> DataFrame:
     )
 
 
-@query(
-    "find_in_text",
-    "SELECT doc_id, CASE WHEN list_count(p) > 8 THEN 8 ELSE list_count(p) END AS hits, coalesce(p[1], -1) AS first_at FROM (SELECT doc_id, list_filter(range(n), lambda i: ascii_text[i + 1:i + 4] = 'tion') AS p FROM (SELECT doc_id, length(text) AS n, text AS ascii_text FROM base))",
-)
-def _(m: DataFrame) -> DataFrame:
-    rows = m.sparkSession.read.parquet(m.inputFiles()[0]).select("doc_id", "text")
-    hits = by.find_all(F.col("text"), "tion", 8)
-    return rows.withColumn("h", hits).select(
-        "doc_id", F.size("h").alias("hits"), F.coalesce(F.get("h", 0), F.lit(-1)).alias("first_at")
-    )
-
-
 def table_query(name: str, table: str, sql: str):
     def register(fn):
         QUERIES[name] = lambda spark, sf: fn(synth.table(spark, sf, table))
@@ -428,6 +416,17 @@ def table_query(name: str, table: str, sql: str):
     return register
 
 
+@table_query(
+    "find_in_text", "documents",
+    "SELECT doc_id, CASE WHEN list_count(p) > 8 THEN 8 ELSE list_count(p) END AS hits, coalesce(p[1], -1) AS first_at FROM (SELECT doc_id, list_filter(range(length(text)), lambda i: text[i + 1:i + 4] = 'tion') AS p FROM documents)",
+)
+def _(documents: DataFrame) -> DataFrame:
+    hits = by.find_all(F.col("text"), "tion", 8)
+    return documents.withColumn("h", hits).select(
+        "doc_id", F.size("h").alias("hits"), F.coalesce(F.get("h", 0), F.lit(-1)).alias("first_at")
+    )
+
+
 @table_query(
     "integers_from_bytes", "orders",
     "SELECT o_orderkey, o_orderkey % 65536 AS be16, o_custkey AS le32, o_orderkey * 1000003 AS be64, o_orderkey % 256 = 7 AS starts FROM orders",

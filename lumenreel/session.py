@@ -28,3 +28,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there, with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the input comes in fewer pieces than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

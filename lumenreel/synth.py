@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.bytes import be, blob, le, window
 from .functions.flow import let
+from .session import spread
 
 SHAPES = [
     "jpeg-directory", "jpeg-trailer", "jpeg-pointer", "heic-mpvd", "heic-mpvd-sefd", "heic-item",
@@ -187,7 +188,10 @@ def trailer(payload: Column) -> Column:
 
 def heic_head(video_off: Column | None = None, video_len: Column | None = None) -> Column:
     """``ftyp`` and ``meta``: a grid of two tiles, optionally with a described video item."""
-    infe = lambda i, typ, tail=b"\0": box(b"infe", b"\x02\0\0\0" + i.to_bytes(2, "big") + b"\0\0" + typ + tail)
+
+    def infe(i: int, typ: bytes, tail: bytes = b"\0") -> Column:
+        return box(b"infe", b"\x02\0\0\0" + i.to_bytes(2, "big") + b"\0\0" + typ + tail)
+
     entries = [infe(1, b"grid"), infe(2, b"hvc1"), infe(3, b"hvc1")]
     refs = [box(b"dimg", b"\0\1\0\2\0\2\0\3")]
     locs: list[Column | bytes] = [
@@ -212,7 +216,7 @@ def heic_head(video_off: Column | None = None, video_len: Column | None = None)
 
 
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def media_files(docs: DataFrame, front: bool = True) -> DataFrame:
