@@ -1,6 +1,6 @@
 """Scanning, counting and pairing as files arrive.
 
-The reference order of work has no event time: results land one by one, counts follow, and pairs
+There is no event time here: results land one by one, counts follow, and pairs
 are formed again for the names a batch brings. Batches are stored under their id, so a repeated
 batch replaces itself.
 """
