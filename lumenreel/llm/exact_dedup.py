@@ -34,7 +34,8 @@ def frequent(rows: DataFrame, item: Column, most: int = HEAVY, counters: int = C
     """At most ``most`` items, among them every one above the error of a Misra-Gries summary: ``item`` (long)."""
     parts = rows.select(item.alias("item"), F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("part"))
     parts = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(item, {counters})").alias("summary"))
-    merged = parts.agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"))
+    # grouped, for tasks without a summary must not take part in the merge
+    merged = parts.groupBy(F.shiftright("part", 16)).agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"))
     top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {most})")).alias("found"))
     return top.select("found.item")
 
