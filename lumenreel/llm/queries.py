@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_pairs, exact_dedup, token_counts
+from . import byte_pairs, exact_dedup, mixing, secret_scan, token_counts, toxicity
 from .common import table
 
 
@@ -13,6 +14,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("route")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return secret_scan.digest_columns(found)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), learnable=~toxicity.held_out(F.col("doc_id")))
+    return toxicity.scored(docs, model)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path, limit=4096)
@@ -22,9 +34,55 @@ def op6_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_token_counts, op6_byte_pairs)}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=2.0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_token_counts, op6_byte_pairs, op7_mixing,
+)}
+
+_ASSIGN = secret_scan.RULES[0].pattern.replace("'", "''")
+
+
+def _gaps(kind: str, place: int, pattern: str, kept: str) -> str:
+    """Spans of one pattern: matches and gaps alternate, so running lengths give positions."""
+    return f"""
+        SELECT doc_id, '{kind}' AS kind, {place} AS place, begins, begins + length(whole) AS ends FROM (
+            SELECT doc_id, whole, part,
+                   sum(length(gap)) OVER upto + coalesce(sum(length(whole)) OVER before, 0) AS begins
+            FROM (
+                SELECT doc_id, unnest(wholes) AS whole, unnest(parts) AS part, unnest(gaps) AS gap,
+                       generate_subscripts(wholes, 1) AS nth
+                FROM (
+                    SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS wholes,
+                           regexp_extract_all(text, '{pattern}', {kept}) AS parts,
+                           regexp_split_to_array(text, '{pattern}')[1:len(wholes)] AS gaps
+                    FROM documents WHERE regexp_matches(text, '{pattern}')
+                )
+            )
+            WINDOW upto AS (PARTITION BY doc_id ORDER BY nth),
+                   before AS (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        )"""
+
 
 SQL = {
+    "op3_secret_scan": f"""
+        WITH spans AS (
+            {_gaps("assign", 0, _ASSIGN, "2")} WHERE length(part) >= 6
+            UNION ALL {_gaps("access", 1, "AKIA[A-Z0-9]+", "0")} WHERE length(part) >= 20
+            UNION ALL {_gaps("hex", 2, "[0-9a-f]+", "0")} WHERE length(part) >= 24
+        ),
+        found AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                   count(*) FILTER (kind = 'hex') AS n_hex,
+                   string_agg(kind || ':' || begins || ':' || ends, ',' ORDER BY begins, place) AS spans
+            FROM spans GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents LEFT JOIN found USING (doc_id)
+    """,
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
