@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, exact_dedup, mixing, secret_scan, token_counts, toxicity
+from . import byte_pairs, exact_dedup, jaccard_join, mixing, secret_scan, token_counts, toxicity
 from .common import table
 
 
@@ -38,8 +38,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=2.0)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_token_counts, op6_byte_pairs, op7_mixing,
+    op10_jaccard_join,
 )}
 
 _ASSIGN = secret_scan.RULES[0].pattern.replace("'", "''")
