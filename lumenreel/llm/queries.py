@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, exact_dedup, jaccard_join, mixing, secret_scan, token_counts, toxicity
+from . import (
+    byte_pairs, exact_dedup, fingerprints, jaccard_join, mixing, secret_scan, token_counts, token_shards, toxicity,
+)
 from .common import table
 
 
@@ -38,13 +40,25 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=2.0)
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    folder = token_shards.new_folder(spark)
+    token_shards.write_shards(docs, folder, path, end_id=1)
+    found = token_shards.read_ids(token_shards.lookup(docs.select("doc_id"), folder), folder, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_token_counts, op6_byte_pairs, op7_mixing,
-    op10_jaccard_join,
+    op8_token_shards, op9_fingerprints, op10_jaccard_join,
 )}
 
 _ASSIGN = secret_scan.RULES[0].pattern.replace("'", "''")
