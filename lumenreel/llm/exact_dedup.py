@@ -76,18 +76,18 @@ def deduplicated(docs: DataFrame, most: int = HEAVY, counters: int = COUNTERS) -
     to one of them.
     """
     groups = exact_groups(docs, most, counters)
-    lost = groups.filter("not kept").select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha"))
+    lost = groups.filter("not kept").select(F.col("doc_id").alias("_llm_lost_id"), F.col("text_sha256").alias("_llm_lost_sha"))
     kept_of = groups.filter("kept and group_size > 1")
     repeated = (
         lost.join(
-            kept_of, lost._lost_id.eqNullSafe(kept_of.doc_id) & (lost._lost_sha == kept_of.text_sha256), "left_semi"
+            kept_of, lost._llm_lost_id.eqNullSafe(kept_of.doc_id) & (lost._llm_lost_sha == kept_of.text_sha256), "left_semi"
         ).distinct()
     )
     lost, repeated = written(lost.distinct()), written(repeated)
-    rows = docs.withColumn("_sha", F.sha2(whole_text(), 256))
-    same = rows.doc_id.eqNullSafe(F.col("_lost_id")) & (F.col("_sha") == F.col("_lost_sha"))
-    alone = rows.join(lost, same, "left_anti").drop("_sha")
+    rows = docs.withColumn("_llm_sha", F.sha2(whole_text(), 256))
+    same = rows.doc_id.eqNullSafe(F.col("_llm_lost_id")) & (F.col("_llm_sha") == F.col("_llm_lost_sha"))
+    alone = rows.join(lost, same, "left_anti").drop("_llm_sha")
     if repeated.isEmpty():
         return alone
-    again = rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    again = rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_llm_sha"]).drop("_llm_sha")
     return alone.unionByName(again)

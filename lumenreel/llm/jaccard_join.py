@@ -328,5 +328,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Documents are told apart by doc_id; rows without one stay.
     """
-    gone = joined(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(written(gone), docs["doc_id"].cast("bigint") == F.col("_gone"), "left_anti")
+    gone = joined(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_llm_gone")).distinct()
+    return docs.join(written(gone), docs["doc_id"].cast("bigint") == F.col("_llm_gone"), "left_anti")

@@ -209,13 +209,13 @@ def mixed_documents(
     rows = written(narrow(docs))
     columns = ["n_blocks", "epochs", "cut_block", "cut_doc"]
     sources = plan(rows, budget, target_entropy, max_repeats, seed).select(
-        F.struct(*columns).alias("_plan"), F.col("source").alias("_plan_source")
+        F.struct(*columns).alias("_llm_plan"), F.col("source").alias("_llm_source")
     )
-    joined = docs.join(sources, docs["source"].cast("string").eqNullSafe(F.col("_plan_source")))
+    joined = docs.join(sources, docs["source"].cast("string").eqNullSafe(F.col("_llm_source")))
     doc_id = F.col("doc_id").cast("bigint")
-    block = _block(doc_id, F.col("_plan.n_blocks"), seed)
-    copies = _copies(_block_key(F.col("_plan_source"), block, seed), _doc_key(doc_id, seed), "_plan.")
-    taken = joined.withColumn("_copies", copies).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
+    block = _block(doc_id, F.col("_llm_plan.n_blocks"), seed)
+    copies = _copies(_block_key(F.col("_llm_source"), block, seed), _doc_key(doc_id, seed), "_llm_plan.")
+    taken = joined.withColumn("_llm_copies", copies).filter("_llm_copies > 0")
+    return taken.withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_copies")))).select(
         *(F.col(f"`{c}`") for c in docs.columns)
     )

@@ -7,11 +7,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_pairs, exact_dedup, fingerprints, jaccard_join, mixing, secret_scan, token_counts, token_shards, toxicity,
+    byte_pairs, exact_dedup, fingerprints, jaccard_join, mixing, secret_scan, token_counts, token_shards, tool_links,
+    toxicity,
 )
 from .common import table
 
 
+#: Tools of the calls that are derived from conversations.
+TOOLS = {
+    "search": {
+        "type": "object", "required": ["query"], "additionalProperties": False,
+        "properties": {"query": {"type": "string", "minLength": 40}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}},
+    },
+    "count": {
+        "type": "object", "required": ["query", "limit"],
+        "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 3}},
+    },
+}
+
+
+def op1_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn is a call that needs the calls two and four turns before; every user turn is a result."""
+    turns = table(spark, sf_dir, "conversations")
+    call_id = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
+    size = F.length("text")
+    calls = turns.filter("role = 'assistant'").select(
+        "conv_id", call_id(0).alias("call_id"), "turn",
+        F.when(size % 3 == 0, "search").when(size % 3 == 1, "count").otherwise("draw").alias("name"),
+        F.to_json(F.struct("text", (size % 60 - 2).alias("limit")).cast("struct<query:string,limit:int>")).alias("arguments"),
+        F.when(F.col("turn") >= 4, F.array(call_id(2), call_id(4))).when(F.col("turn") >= 2, F.array(call_id(2))).alias("needs"),
+    )
+    results = turns.filter("role = 'user'").select("conv_id", call_id(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return tool_links.linked(calls, results, TOOLS)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("route")
 
@@ -57,7 +86,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_token_counts, op6_byte_pairs, op7_mixing,
+    op1_tool_links, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_token_counts, op6_byte_pairs, op7_mixing,
     op8_token_shards, op9_fingerprints, op10_jaccard_join,
 )}
 
@@ -86,6 +115,43 @@ def _gaps(kind: str, place: int, pattern: str, kept: str) -> str:
 
 
 SQL = {
+    "op1_tool_links": """
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, turn, 'c' || turn AS call_id, text, length(text) % 60 - 2 AS lim,
+                   CASE length(text) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'count' ELSE 'draw' END AS name
+            FROM conversations WHERE role = 'assistant'
+        ),
+        needs AS (SELECT conv_id, turn, turn - 2 AS need FROM calls WHERE turn >= 2
+                  UNION ALL SELECT conv_id, turn, turn - 4 FROM calls WHERE turn >= 4),
+        edges AS (SELECT n.conv_id, n.turn, n.need FROM needs n JOIN calls c ON n.conv_id = c.conv_id AND n.need = c.turn),
+        paths AS (
+            SELECT conv_id, turn, 0 AS level FROM calls
+            UNION SELECT e.conv_id, e.turn, p.level + 1 FROM edges e JOIN paths p ON e.conv_id = p.conv_id AND e.need = p.turn
+        ),
+        lost AS (
+            SELECT conv_id, turn, count(*) AS lost FROM needs n
+            WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = n.conv_id AND c.turn = n.need) GROUP BY ALL
+        ),
+        results AS (SELECT conv_id, turn, turn - 1 AS call_turn, text FROM conversations WHERE role = 'user'),
+        linked AS (
+            SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, 'c' || r.call_turn) AS call_id, c.name,
+                   (SELECT max(level) FROM paths p WHERE p.conv_id = c.conv_id AND p.turn = c.turn) AS level,
+                   c.turn, r.turn AS result_turn, c.text, c.lim, r.text AS content, c.call_id IS NOT NULL AS called,
+                   coalesce(l.lost, 0) AS lost
+            FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.call_turn
+            LEFT JOIN lost l ON l.conv_id = c.conv_id AND l.turn = c.turn
+        )
+        SELECT conv_id, call_id, name, level, turn, result_turn,
+               concat_ws(',', CASE WHEN NOT called THEN 'orphan_result' END, CASE WHEN lost > 0 THEN 'unknown_need' END,
+                         CASE WHEN name = 'draw' THEN 'unknown_tool' END,
+                         CASE WHEN (name = 'search' AND lim < 1) OR (name = 'count' AND lim < 3) THEN 'minimum:.limit' END,
+                         CASE WHEN name = 'search' AND lim > 50 THEN 'maximum:.limit' END,
+                         CASE WHEN name = 'search' AND length(text) < 40 THEN 'minLength:.query' END) AS errors,
+               CASE WHEN called THEN '{"arguments":{"limit":' || lim || ',"query":' || to_json(text) || '},"id":"' || call_id
+                         || '","name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}'
+                    ELSE '{"id":"' || call_id || '","result":' || to_json(content) || '}' END AS message
+        FROM linked
+    """,
     "op3_secret_scan": f"""
         WITH spans AS (
             {_gaps("assign", 0, _ASSIGN, "2")} WHERE length(part) >= 6
