@@ -139,7 +139,7 @@ def plan(
     weight = power / F.lit(z)
     sources = sources.withColumn("exponent", F.lit(exponent)).withColumn("weight", weight).withColumn(
         "source_budget",
-        F.least(F.floor(F.col("weight") * budget), F.floor(tokens * F.lit(float(max_repeats)))).cast("long"),
+        F.least(F.round(F.col("weight") * budget), F.floor(tokens * F.lit(float(max_repeats)))).cast("long"),
     )
     sources = sources.withColumn(
         "epochs", F.when(tokens > 0, F.floor(F.col("source_budget") / tokens)).otherwise(1).cast("int")
