@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .flow import empty, first_where, let
+from .flow import empty, first_where, let, repeat
 
 WINDOW = "struct<off:bigint,len:bigint,data:binary>"
 WINDOWS = f"array<{WINDOW}>"
@@ -159,8 +159,8 @@ def int_table(data: Column, width: int) -> Column:
     return F.transform(cells, lambda c: F.conv(c, 16, 10).try_cast("bigint"))
 
 
-def find_all(text: Column, needle: str, limit: int) -> Column:
-    """0-based positions of the first ``limit`` occurrences.
+def find_all(text: Column, needle: str) -> Column:
+    """0-based positions of all occurrences.
 
     The needle must not overlap itself, so splitting on it visits every occurrence.
     """
@@ -174,21 +174,21 @@ def find_all(text: Column, needle: str, limit: int) -> Column:
         )
 
     return let(
-        F.split(text, r"\Q" + needle + r"\E", limit + 1),
+        F.split(text, r"\Q" + needle + r"\E", -1),
         lambda pieces: F.aggregate(
             F.slice(pieces, F.lit(1), F.size(pieces) - 1), zero, advance, lambda acc: acc["hits"]
         ),
     )
 
 
-def find_in_windows(wins: Column, needle: str, limit: int) -> Column:
+def find_in_windows(wins: Column, needle: str) -> Column:
     """Absolute positions of ``needle``, window by window; text is decoded only where it occurs."""
     code = needle.encode("latin-1")
     return F.flatten(
         F.transform(
             F.filter(wins, lambda w: F.contains(w["data"], blob(code))),
             lambda w: F.transform(
-                F.filter(find_all(latin1(w["data"]), needle, limit), lambda p: p >= 4),
+                F.filter(find_all(latin1(w["data"]), needle), lambda p: p >= 4),
                 lambda p: w["off"] + p,
             ),
         )
@@ -234,23 +234,23 @@ def box_at(wins: Column, pos: Column, limit: Column) -> Column:
     return F.when(pos <= limit - 8, let(F.hex(read_upto(wins, pos, 32)), sized))
 
 
-def walk_boxes(wins: Column, start: Column, limit: Column, steps: int = 25) -> Column:
-    """Sibling boxes from ``start`` until the region ends or a header makes no sense (B2)."""
+def walk_boxes(wins: Column, start: Column, limit: Column) -> Column:
+    """Sibling boxes from ``start`` until the region ends or a header makes no sense (B2).
+
+    Headers are read from windows; the rounds suffice for 3 MB of nothing but headers.
+    """
     zero = F.struct(start.alias("pos"), empty(BOX).alias("out"))
 
-    def step(acc: Column, _i: Column) -> Column:
-        return F.when(
-            acc["pos"] < limit,
-            let(
-                box_at(wins, acc["pos"], limit),
-                lambda b: F.struct(
-                    b["data_end"].alias("pos"),
-                    F.concat(acc["out"], F.array_compact(F.array(b))).alias("out"),
-                ),
+    def step(acc: Column) -> Column:
+        return let(
+            box_at(wins, acc["pos"], limit),
+            lambda b: F.struct(
+                b["data_end"].alias("pos"),
+                F.concat(acc["out"], F.array_compact(F.array(b))).alias("out"),
             ),
-        ).otherwise(acc)
+        )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step, lambda acc: acc["out"])
+    return repeat(zero, lambda acc: F.coalesce(acc["pos"] < limit, F.lit(False)), step)["out"]
 
 
 def child(boxes: Column, typ: str) -> Column:

@@ -61,6 +61,25 @@ def upto(n: Column) -> Column:
     )
 
 
+#: Rounds of one level of :func:`repeat`.
+ROUNDS = 25
+
+
+def repeat(state: Column, going: Callable[[Column], Column], step: Callable[[Column], Column], levels: int = 4) -> Column:
+    """``step`` applied to ``state`` while ``going`` holds, up to ROUNDS ** levels times.
+
+    Loops are nested, and each is entered only while there is work, so a short walk costs a few empty rounds.
+    """
+
+    def level(k: int, acc: Column) -> Column:
+        inner = step if k == 1 else (lambda x: level(k - 1, x))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(ROUNDS)), acc, lambda x, _i: F.when(going(x), inner(x)).otherwise(x)
+        )
+
+    return level(levels, state)
+
+
 Step = tuple[str, Column]
 
 

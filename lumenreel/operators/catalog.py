@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..session import materialise
-from .pairing import mark_companions, pair_live
+from .pairing import marked_pairs
 
 PAGE = 120
 SORTS = ["name", "date-desc", "date-asc", "size-desc", "kind"]
@@ -44,8 +44,8 @@ def scannable(entries: DataFrame) -> DataFrame:
 
 
 def finish_catalog(scanned: DataFrame, order: str = "list_ord") -> DataFrame:
-    """Pair the scanned rows and mark companions."""
-    return mark_companions(pair_live(scanned, order))
+    """Pair the scanned rows and mark companions; whole rows meet their marks in one join."""
+    return marked_pairs(scanned, order)
 
 
 def with_kind(catalog: DataFrame, out: str = "library_kind") -> DataFrame:
@@ -117,13 +117,13 @@ def page(catalog: DataFrame, by: str = "name", offset: int = 0, size: int = PAGE
     return sort(catalog, by).offset(offset).limit(size)
 
 
-def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
-    """Add the dense place of every row in a total order, without a one-task window.
+def ranked(df: DataFrame, order: list[Column], out: str = "rank", keep: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """``keep`` and the dense place of every row in a total order, without a one-task window.
 
-    The sorted rows are written once; places inside a partition plus the row counts of the
-    partitions before it give the rank. Only one row per partition is brought together.
+    Only ``keep`` and what the order needs is sorted and written once; places inside a partition plus the row
+    counts of the partitions before it give the rank. Only one row per partition is brought together.
     """
-    placed = materialise(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = materialise(df.orderBy(*order).select(*keep, F.monotonically_increasing_id().alias("_id")))
     placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn(
         "_at", F.col("_id").bitwiseAND(2**33 - 1)
     )

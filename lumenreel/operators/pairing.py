@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import pair_key
-from .skew import join_to_unique
 
 
 def companions(entries: DataFrame, order: str = "list_ord") -> DataFrame:
@@ -21,17 +20,43 @@ def companions(entries: DataFrame, order: str = "list_ord") -> DataFrame:
     )
 
 
+def pairs(entries: DataFrame, order: str = "list_ord") -> DataFrame:
+    """file_id, companion_id and companion_size of the stills that have a companion; only narrow columns move."""
+    narrow = entries.select("file_id", "name", "size", "family_ext", order)
+    keyed = narrow.filter(~F.coalesce(F.col("family_ext") == "video", F.lit(False))).select(
+        "file_id", pair_key(F.col("name")).alias("pair_key")
+    )
+    # a frequent name is a large partition of narrow rows, which adaptive execution splits in a plain join
+    found = keyed.join(companions(narrow, order), "pair_key")
+    return found.select("file_id", "companion_id", "companion_size")
+
+
+def _once(found: DataFrame) -> DataFrame:
+    """One row per file, also where a file is listed twice."""
+    return found.groupBy("file_id").agg(*(F.max(c).alias(c) for c in found.columns if c != "file_id"))
+
+
 def pair_live(entries: DataFrame, order: str = "list_ord") -> DataFrame:
     """Add ``companion_id`` and ``companion_size`` to stills that have one.
 
     Folders do not matter, and many stills may share one video.
     """
     entries = entries.drop("companion_id", "companion_size")
-    best = companions(entries, order)
-    keyed = entries.withColumn(
-        "pair_key", F.when(F.col("family_ext") != "video", pair_key(F.col("name")))
+    return entries.join(_once(pairs(entries, order)), "file_id", "left")
+
+
+def marked_pairs(entries: DataFrame, order: str = "list_ord") -> DataFrame:
+    """``mark_companions(pair_live(entries))`` with one join of the whole rows."""
+    entries = entries.drop("companion_id", "companion_size", "hidden_as_companion")
+    found = pairs(entries, order)
+    used = found.select(F.col("companion_id").alias("file_id")).distinct().select(
+        "file_id", F.lit(None).cast("string").alias("companion_id"), F.lit(None).cast("bigint").alias("companion_size"),
+        F.lit(True).alias("hidden_as_companion"),
+    )
+    marks = _once(found.withColumn("hidden_as_companion", F.lit(False)).unionByName(used))
+    return entries.join(marks, "file_id", "left").withColumn(
+        "hidden_as_companion", F.coalesce("hidden_as_companion", F.lit(False))
     )
-    return join_to_unique(keyed, best, "pair_key", "file_id").drop("pair_key")
 
 
 def mark_companions(paired: DataFrame) -> DataFrame:
@@ -55,4 +80,4 @@ def companion_codec(catalog: DataFrame) -> DataFrame:
         F.col("name").alias("companion_name"),
         F.col("motion.codec").alias("companion_codec"),
     )
-    return join_to_unique(catalog, other, "companion_id", "file_id")
+    return catalog.join(other, "companion_id", "left")

@@ -226,7 +226,7 @@ def probe_result() -> Column:
             "boxes": F.transform(
                 f["boxes"], lambda b: F.regexp_replace(b["typ"], r"[^\x20-\x7e]", ".")
             ),
-            "notes": F.slice(F.when(f["is_video"], F.array().cast("array<string>")).otherwise(notes), 1, routes.MAX_NOTES),
+            "notes": F.when(f["is_video"], F.array().cast("array<string>")).otherwise(notes),
         }
     )
 

@@ -37,7 +37,6 @@ TAIL_WINDOW_MAX = 2 * 1024 * 1024
 REGION_WINDOW = 192 * 1024
 SCAN_LIMIT = 8 * 1024 * 1024
 MIN_STILL = 128
-MAX_NOTES = 12
 STILLS = ["jpeg", "heif", "avif", "png", "webp", "gif", "tiff"]
 SPLIT_REASON = "video payload is split across several extents"
 READ_HEADER = "read the video header"

@@ -241,10 +241,8 @@ on_catalog(
 )
 on_catalog(
     "sort_kind_rank",
-    "SELECT file_id, row_number() OVER (ORDER BY library_kind, lower(replace(replace(name, '_', ' '), '.', '!')), replace(replace(name, '_', ' '), '.', '!') DESC, list_ord) - 1 AS rank FROM cat WHERE name NOT LIKE '.%'",
-    lambda c: cat.ranked(
-        c.filter(~F.col("name").startswith(".")), cat.order_columns("kind")
-    ).select("file_id", "rank"),
+    "SELECT file_id, row_number() OVER (ORDER BY library_kind, lower(replace(replace(name, '_', ' '), '.', '!')), replace(replace(name, '_', ' '), '.', '!') DESC, list_ord) - 1 AS rank FROM cat",
+    lambda c: cat.ranked(c, cat.order_columns("kind")).select("file_id", "rank"),
 )
 on_catalog(
     "sort_name_rank",

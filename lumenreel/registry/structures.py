@@ -139,7 +139,7 @@ def _(m: DataFrame) -> DataFrame:
 )
 def _(m: DataFrame) -> DataFrame:
     at = F.coalesce(
-        F.get(on_windows(lambda w, n: by.find_in_windows(w, "isommp42", 1)), 0) - 16, by.long(0)
+        F.get(on_windows(lambda w, n: by.find_in_windows(w, "isommp42")), 0) - 16, by.long(0)
     )
     opens = on_windows(lambda w, n: containers.starts_media_box(w, F.col("at"), n - F.col("at")))
     return m.withColumn("at", at).select("doc_id", opens.alias("opens"))
@@ -418,10 +418,10 @@ def table_query(name: str, table: str, sql: str):
 
 @table_query(
     "find_in_text", "documents",
-    "SELECT doc_id, CASE WHEN list_count(p) > 8 THEN 8 ELSE list_count(p) END AS hits, coalesce(p[1], -1) AS first_at FROM (SELECT doc_id, list_filter(range(length(text)), lambda i: text[i + 1:i + 4] = 'tion') AS p FROM documents)",
+    "SELECT doc_id, list_count(p) AS hits, coalesce(p[1], -1) AS first_at FROM (SELECT doc_id, list_filter(range(length(text)), lambda i: text[i + 1:i + 4] = 'tion') AS p FROM documents)",
 )
 def _(documents: DataFrame) -> DataFrame:
-    hits = by.find_all(F.col("text"), "tion", 8)
+    hits = by.find_all(F.col("text"), "tion")
     return documents.withColumn("h", hits).select(
         "doc_id", F.size("h").alias("hits"), F.coalesce(F.get("h", 0), F.lit(-1)).alias("first_at")
     )

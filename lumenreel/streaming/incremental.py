@@ -30,7 +30,9 @@ def stored(spark: SparkSession, store: str) -> DataFrame | None:
     """Everything stored so far, with its ``batch_id``; None before the first batch."""
     try:
         found = spark.read.parquet(store)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise  # a store that can't be read is not an empty one
         return None
     return found if "batch_id" in found.columns else None
 

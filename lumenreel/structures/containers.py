@@ -11,15 +11,11 @@ from ..functions.bytes import (
 from ..functions.codecs import brand_family
 from ..functions.flow import first_where, last_where, let, null
 
-# Media types by container, and search limits.
+# Media types by container.
 STILL_MIME = {
     "jpeg": "image/jpeg", "heif": "image/heic", "avif": "image/avif", "png": "image/png",
     "webp": "image/webp", "gif": "image/gif", "tiff": "image/tiff",
 }
-MAX_MPVD_HITS = 8
-MAX_FTYP_HITS = 16
-MAX_CHAIN = 64
-MAX_TOP_BOXES = 32
 
 
 def sniff(wins: Column) -> Column:
@@ -57,13 +53,13 @@ def still_mime(container: Column) -> Column:
 
 def boxes_top(wins: Column, size: Column) -> Column:
     """Boxes at the top level of the file (B2)."""
-    return F.slice(walk_boxes(wins, long(0), size), 1, MAX_TOP_BOXES)
+    return walk_boxes(wins, long(0), size)
 
 
 def find_mpvd(wins: Column, size: Column) -> Column:
     """The first plausible ``mpvd`` box in window order."""
     hits = F.transform(
-        find_in_windows(wins, "mpvd", MAX_MPVD_HITS),
+        find_in_windows(wins, "mpvd"),
         lambda p: let(p - 4, lambda at: box_at(wins, at, size)),
     )
     return first_where(hits, lambda b: (b["typ"] == "mpvd") & (b["size"] >= 16))
@@ -72,7 +68,7 @@ def find_mpvd(wins: Column, size: Column) -> Column:
 def trim_sefd(wins: Column, start: Column, end: Column) -> Column:
     """End of a payload without its trailing ``sefd`` box, when the boxes fill it exactly."""
     return let(
-        walk_boxes(wins, start, end, MAX_CHAIN),
+        walk_boxes(wins, start, end),
         lambda chain: let(
             F.struct(
                 F.try_element_at(chain, F.lit(-1))["data_end"].alias("reached"),
@@ -87,7 +83,7 @@ def complete_clip(wins: Column, start: Column, end: Column) -> Column:
     """The ``moov`` box of a range that is a whole clip: ``ftyp`` first, ``moov`` and ``mdat``
     present, boxes ending exactly at ``end``. NULL otherwise (B20)."""
     return let(
-        walk_boxes(wins, start, end, MAX_CHAIN),
+        walk_boxes(wins, start, end),
         lambda chain: F.when(
             F.coalesce(
                 (F.get(chain, F.lit(0))["typ"] == "ftyp")
@@ -103,7 +99,7 @@ def complete_clip(wins: Column, start: Column, end: Column) -> Column:
 def appended_clip(wins: Column, size: Column) -> Column:
     """``struct(start, moov)`` of the earliest later ``ftyp`` whose boxes end at EOF."""
     hits = F.filter(
-        F.transform(find_in_windows(wins, "ftyp", MAX_FTYP_HITS), lambda p: p - 4),
+        F.transform(find_in_windows(wins, "ftyp"), lambda p: p - 4),
         lambda at: at > 0,
     )
     tested = F.transform(

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.bytes import (
-    child, latin1, long, read_at, u16, u32, u8, uint, walk_boxes,
+    child, latin1, long, read_at, read_upto, u16, u32, u8, uint, walk_boxes,
 )
 from ..functions.codecs import VIDEO_ITEM_TYPES
 from ..functions.flow import Env, Step, empty, first_where, last_where, let, named, step_columns, staged, upto
@@ -16,11 +16,7 @@ EXTENT = "struct<off:bigint,len:bigint>"
 LOCATION = f"struct<id:bigint,in_idat:boolean,extents:array<{EXTENT}>>"
 REF = "struct<ref_type:string,from_id:bigint,to_id:bigint>"
 
-# Limits of the item tables.
-MAX_ITEMS = 512
-MAX_EXTENTS = 64
-MAX_TARGETS = 64
-MAX_TEXT = 256
+# Fixed value: the largest plausible side of a picture.
 MAX_SIDE = 1_000_000
 
 
@@ -33,7 +29,7 @@ def item_is_video(item_type: Column, content_type: Column) -> Column:
 def _text(wins: Column, at: Column, limit: Column) -> Column:
     """``struct(text, next)`` of a zero-terminated string."""
     return let(
-        latin1(read_at(wins, at, F.least(limit - at, long(MAX_TEXT)))),
+        latin1(read_upto(wins, at, limit - at)),
         lambda raw: let(
             F.substring_index(raw, "\0", 1),
             lambda t: F.struct(
@@ -62,9 +58,9 @@ def heif_items(wins: Column, iinf: Column) -> Column:
         }
 
     def boxes(e: Env) -> Env:
-        walked = walk_boxes(wins, e["at"], iinf["data_end"], 2 * MAX_ITEMS)
+        walked = walk_boxes(wins, e["at"], iinf["data_end"])
         entries = F.filter(walked, lambda b: b["typ"] == "infe")
-        return {"entries": F.slice(entries, F.lit(1), F.least(e["count"], F.lit(MAX_ITEMS)).cast("int"))}
+        return {"entries": F.slice(entries, F.lit(1), F.least(e["count"], F.size(entries)).cast("int"))}
 
     def row(b: Column, i: Column) -> Column:
         def version(_: Env) -> Env:
@@ -140,7 +136,7 @@ def item_locations(wins: Column, iloc: Column, idat: Column) -> Column:
         at = iloc["data_start"] + 6
         n = F.when(e["v"] < 2, u16(wins, at)).otherwise(u32(wins, at))
         return {
-            "count": F.least(F.coalesce(n, F.lit(0)), F.lit(MAX_ITEMS)),
+            "count": F.least(F.coalesce(n, F.lit(0)), F.floor((iloc["data_end"] - at) / 4)),
             "at": at + e["id_n"],
         }
 
@@ -165,7 +161,7 @@ def item_locations(wins: Column, iloc: Column, idat: Column) -> Column:
                 ).otherwise(long(0))
                 return {
                     "base": F.try_add(_sized(wins, f["p"], e["base_n"]), start),
-                    "n": F.least(u16(wins, f["p"] + e["base_n"]), F.lit(MAX_EXTENTS)),
+                    "n": u16(wins, f["p"] + e["base_n"]),
                     "first": f["p"] + e["base_n"] + 2 + e["idx_n"],
                     "stride": e["idx_n"] + e["off_n"] + e["len_n"],
                 }
@@ -218,7 +214,7 @@ def item_refs(wins: Column, iref: Column) -> Column:
             def head(_: Env) -> Env:
                 return {
                     "from": F.when(wide, u32(wins, at)).otherwise(u16(wins, at)),
-                    "count": F.least(u16(wins, at + n), F.lit(MAX_TARGETS)),
+                    "count": F.least(u16(wins, at + n), F.floor((b["data_end"] - at - n - 2) / n)),
                 }
 
             def result(e: Env) -> Column:
@@ -272,7 +268,7 @@ def _primary_properties(wins: Column, ipma: Column, primary: Column) -> Column:
             def head(_: Env) -> Env:
                 return {
                     "id": _sized(wins, acc["at"], id_n),
-                    "n": F.least(u8(wins, acc["at"] + id_n), F.lit(64)),
+                    "n": u8(wins, acc["at"] + id_n),
                 }
 
             def last(e: Env) -> Env:
@@ -297,7 +293,7 @@ def _primary_properties(wins: Column, ipma: Column, primary: Column) -> Column:
             return F.when(acc["at"].isNull(), acc).otherwise(staged({}, head, last, result=result))
 
         return F.aggregate(
-            upto(F.least(u32(wins, at + 4), F.lit(MAX_ITEMS))), zero, step, lambda acc: acc["out"]
+            upto(F.least(u32(wins, at + 4), F.floor((ipma["data_end"] - at - 8) / 3))), zero, step, lambda acc: acc["out"]
         )
 
     return let(F.struct(wide_id.alias("id"), wide_index.alias("idx")), walk)

@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.bytes import (
     long, part, read_at, starts_with, u8, u16, uint,
 )
-from ..functions.flow import Env, Step, empty, last_where, let, named, null, step_columns, upto
+from ..functions.flow import Env, Step, empty, last_where, let, named, null, repeat, step_columns, upto
 
 SEGMENT = "struct<marker:bigint,start:bigint,data_start:bigint,data_len:bigint>"
 RANGE = "struct<off:bigint,len:bigint>"
 ENTRY = "struct<tag:bigint,typ:bigint,n:bigint,at:bigint,v8:bigint,v16:bigint,v32:bigint>"
 
-# Limits of the walk and the tag numbers that are read.
-MAX_STEPS = 1024
-SCAN_STOP = 8 * 1024 * 1024
-MAX_ENTRIES = 1024
-MAX_IFDS = 4
-MAX_TEXT = 256
+# The tag numbers that are read.
 TAG_WIDTH, TAG_HEIGHT = 0x0100, 0x0101
 TAG_MAKE, TAG_MODEL, TAG_ORIENTATION, TAG_SOFTWARE, TAG_DATETIME = 0x010F, 0x0110, 0x0112, 0x0131, 0x0132
 TAG_THUMB_OFF, TAG_THUMB_LEN = 0x0201, 0x0202
@@ -40,7 +35,7 @@ def jpeg_segments(wins: Column) -> Column:
             pos.alias("pos"), out.alias("out"), stopped.alias("stopped"), complete.alias("complete")
         )
 
-    def step(acc: Column, _i: Column) -> Column:
+    def step(acc: Column) -> Column:
         pos, out, yes, no = acc["pos"], acc["out"], F.lit(True), F.lit(False)
         look = F.struct(
             u8(wins, pos).alias("mark"), u8(wins, pos + 1).alias("code"),
@@ -61,14 +56,14 @@ def jpeg_segments(wins: Column) -> Column:
                 .when((code == 1) | code.between(0xD0, 0xD7), state(pos + 2, out, no, no))
                 .when(x["len"].isNull() | (x["len"] < 2), state(pos, out, yes, no))
                 .otherwise(
-                    state(after, F.concat(out, F.array(seg)), after > SCAN_STOP, no)
+                    state(after, F.concat(out, F.array(seg)), no, no)
                 )
             )
 
-        return F.when(acc["stopped"], acc).otherwise(let(look, move))
+        return let(look, move)
 
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(MAX_STEPS)), zero, step,
+    walked = let(
+        repeat(zero, lambda acc: ~acc["stopped"], step),
         lambda acc: F.struct(acc["out"].alias("segments"), acc["complete"].alias("complete")),
     )
     return F.when(starts_with(wins, 0, b"\xff\xd8\xff"), walked).otherwise(
@@ -130,7 +125,7 @@ class _Tiff:
         )
 
     def text(self, x: Column) -> Column:
-        n = F.least(x["n"], F.lit(MAX_TEXT))
+        n = x["n"]
         at = F.when(n <= 4, x["at"]).otherwise(self.base + x["v32"])
         raw = F.when(x["typ"].isin(2, 7), read_at(self.wins, at, n))
         cut = F.substring_index(F.make_valid_utf8(raw.cast("string")), "\0", 1)
@@ -202,13 +197,15 @@ def exif_steps(env: Env, out: str = "exif") -> list[Step]:
             tiff.u32(tiff.base + 4).alias("next"), empty("struct<at:bigint,count:bigint>").alias("out")
         )
 
-        def step(acc: Column, _i: Column) -> Column:
+        def step(acc: Column) -> Column:
             at = tiff.base + acc["next"]
-            usable = F.coalesce((acc["next"] > 0) & tiff.in_range(at, 2), F.lit(False))
+            # a chain that comes back to a directory ends
+            new = ~F.exists(acc["out"], lambda x: x["at"] == at)
+            usable = F.coalesce((acc["next"] > 0) & tiff.in_range(at, 2) & new, F.lit(False))
             return let(
                 F.when(usable, tiff.u16(at)),
                 lambda n: F.when(
-                    F.coalesce(n <= MAX_ENTRIES, F.lit(False)),
+                    n.isNotNull(),
                     F.struct(
                         tiff.u32(at + 2 + n * 12).alias("next"),
                         F.concat(
@@ -219,9 +216,7 @@ def exif_steps(env: Env, out: str = "exif") -> list[Step]:
             )
 
         return {
-            "ifds": F.aggregate(
-                F.sequence(F.lit(1), F.lit(MAX_IFDS)), zero, step, lambda acc: acc["out"]
-            )
+            "ifds": repeat(zero, lambda acc: acc["next"].isNotNull(), step, levels=3)["out"]
         }
 
     def main(e: Env) -> Env:
@@ -236,7 +231,7 @@ def exif_steps(env: Env, out: str = "exif") -> list[Step]:
             "sub": let(
                 at,
                 lambda a: F.when(
-                    tiff.in_range(a, 2), tiff.entries(a, F.least(tiff.u16(a), F.lit(MAX_ENTRIES)))
+                    tiff.in_range(a, 2), tiff.entries(a, tiff.u16(a))
                 ).otherwise(empty(ENTRY)),
             )
         }
@@ -263,7 +258,7 @@ def exif_steps(env: Env, out: str = "exif") -> list[Step]:
                 ),
             )
 
-        return {"later": F.transform(F.slice(e["ifds"], 2, MAX_IFDS), thumb)}
+        return {"later": F.transform(F.slice(e["ifds"], F.lit(2), F.greatest(F.size(e["ifds"]) - 1, F.lit(0))), thumb)}
 
     def result(e: Env) -> Column:
         tiff = reader(e)

@@ -15,12 +15,8 @@ from ..functions.flow import Env, Step, empty, first_where, let, named, step_col
 RUN = "struct<first:bigint,per:bigint>"
 SUMMARY = "struct<codec:string,width:bigint,height:bigint,duration_ms:bigint>"
 
-# Limits of the tables and sizes of fixed headers.
-MAX_MOOV_HITS = 8
-MIN_MOOV, MAX_MOOV = 32, 32 * 1024 * 1024
-MAX_SAMPLES = 500_000
-MAX_CHUNKS = 500_000
-MAX_RUNS = 100_000
+# The smallest box that can be a movie, and sizes of fixed headers.
+MIN_MOOV = 32
 VISUAL_FIELDS = 78
 
 
@@ -31,13 +27,13 @@ def moov_candidates(wins: Column, size: Column) -> Column:
         return let(
             p - 4,
             lambda at: F.when(
-                u32(wins, at).between(MIN_MOOV, MAX_MOOV), box_at(wins, at, size)
+                u32(wins, at) >= MIN_MOOV, box_at(wins, at, size)
             ),
         )
 
     boxes = F.filter(
-        F.transform(find_in_windows(wins, "moov", MAX_MOOV_HITS), probe),
-        lambda b: (b["typ"] == "moov") & b["size"].between(MIN_MOOV, MAX_MOOV),
+        F.transform(find_in_windows(wins, "moov"), probe),
+        lambda b: (b["typ"] == "moov") & (b["size"] >= MIN_MOOV),
     )
     by_start = F.transform(
         F.array_distinct(boxes), lambda b: F.struct(b["start"].alias("start"), b.alias("box"))
@@ -172,7 +168,7 @@ def _sizes(wins: Column, stsz: Column) -> Column:
                 (h["uniform"] == 0) & (h["count"] > 0),
                 F.coalesce(
                     int_table(
-                        read_upto(wins, at + 12, F.least(h["count"], long(MAX_SAMPLES)) * 4), 4
+                        read_upto(wins, at + 12, F.least(h["count"] * 4, stsz["data_end"] - at - 12)), 4
                     ),
                     empty("bigint"),
                 ),
@@ -198,7 +194,7 @@ def _chunk_table(wins: Column, level: Column, stbl: Column) -> Column:
         )
 
     def offsets(t: Column) -> Column:
-        n = F.least(t["count"], long(MAX_CHUNKS))
+        n = t["count"]
         cells = F.when(t["wide"], int_table(read_upto(wins, t["at"], n * 8), 8)).otherwise(
             int_table(read_upto(wins, t["at"], n * 4), 4)
         )
@@ -226,7 +222,7 @@ def _chunk_table(wins: Column, level: Column, stbl: Column) -> Column:
 def _runs(wins: Column, stsc: Column) -> Column:
     """Runs ``(first chunk, samples per chunk)``; NULL without the box."""
     at = stsc["data_start"]
-    n = F.least(F.coalesce(u32(wins, at + 4), long(0)), long(MAX_RUNS))
+    n = F.least(F.coalesce(u32(wins, at + 4), long(0)), F.floor((stsc["data_end"] - at - 8) / 12))
     return F.when(
         stsc.isNotNull(),
         let(

@@ -16,8 +16,6 @@ FLAG_MOTION = "MotionPhoto"
 FLAG_MICRO = "MicroVideo"
 MARKERS = ["MotionPhoto_Data", "EmbeddedVideoFile", "EmbeddedVideoType", "MotionPhoto_Data_"]
 NAMESPACE = "http://ns.adobe.com/xap/1.0/"
-MAX_HITS = 64
-MAX_ITEMS = 32
 REGION = 8192
 ELEMENT = 512
 
@@ -41,10 +39,10 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def property_text(text: Column, name: str) -> Column:
-    """A property by local name under any prefix, as attribute or element, within 64 hits."""
-    element = r">[ \t\n\r]*[^<\s][^<]{0,126}(?=<)"
+    """A property by local name under any prefix, as attribute or element."""
+    element = r">[ \t\n\r]*[^<\s][^<]*(?=<)"
     pattern = EDGE + name + "(" + SPACE + "=" + SPACE + VALUE + "|" + element + ")"
-    hit = _first(F.substring_index(text, name, MAX_HITS + 1), pattern)
+    hit = _first(text, pattern)
     return _unquote(F.regexp_replace(hit, r"^(?:[ \t\n\r]*=[ \t\n\r]*|>)", ""))
 
 
@@ -89,12 +87,15 @@ def packet_facts(head: Column) -> Column:
 
 
 def directory_items(head: Column) -> Column:
-    """Items listed after ``Container:Directory``, in document order, at most 32."""
+    """Items listed after ``Container:Directory``, in document order.
+
+    The list ends with its closing tag, else with the text. An item is looked for in the 8 KiB behind its "<".
+    """
 
     def region(text: Column) -> Column:
         named = F.locate("Container:Directory", text)
         at = F.when(named > 0, named).otherwise(F.locate(":Directory", text))
-        return F.substring(text, at, F.lit(REGION))
+        return F.substring_index(F.substring(text, at, F.char_length(text)), "</Container:Directory", 1)
 
     def item(region_text: Column, p: Column) -> Column:
         rest = F.substring(region_text, p + 2, F.lit(REGION))
@@ -131,14 +132,14 @@ def directory_items(head: Column) -> Column:
 
     def items(region_text: Column) -> Column:
         found = F.transform(
-            find_all(region_text, "<", MAX_ITEMS * 4), lambda p: item(region_text, p)
+            find_all(region_text, "<"), lambda p: item(region_text, p)
         )
         kept = F.filter(
             found,
             lambda x: x["mime"].isNotNull() | x["semantic"].isNotNull() | x["length"].isNotNull(),
         )
         return F.transform(
-            F.slice(kept, 1, MAX_ITEMS),
+            kept,
             lambda x, i: F.struct(
                 i.alias("ord"),
                 x["mime"].alias("mime"),

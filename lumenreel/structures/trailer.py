@@ -15,11 +15,9 @@ BLOCK = (
 )
 RANGE = "struct<off:bigint,len:bigint>"
 
-# The block type and name that hold a clip, and the format's limits.
+# The block type and name that hold a clip.
 CLIP_BLOCK_TYPE = 0x0A30
 CLIP_BLOCK_NAME = "MotionPhoto_Data"
-MAX_BLOCKS = 64
-MAX_NAME = 256
 
 
 def trailer(wins: Column, size: Column) -> Column:
@@ -52,7 +50,7 @@ def trailer(wins: Column, size: Column) -> Column:
         readable = (e["count"] == 0) | e["table"].isNotNull()
         blocks = F.when(e["count"] > 0, _blocks(wins, size, e)).otherwise(empty(BLOCK))
         return F.when(
-            e["version"].isNotNull() & (e["count"] <= MAX_BLOCKS) & readable,
+            e["version"].isNotNull() & e["count"].isNotNull() & readable,
             F.struct(
                 e["dir"].alias("dir_pos"), e["version"].alias("version"), blocks.alias("blocks")
             ),
@@ -80,7 +78,7 @@ def _blocks(wins: Column, size: Column, e: Env) -> Column:
     def named(b: Column) -> Column:
         declared = u32_le(wins, b["pos"] + 4)
         return let(
-            F.when(declared <= MAX_NAME, declared),
+            F.when(declared <= b["size"] - 8, declared),
             lambda n: F.struct(
                 b["ord"].alias("ord"),
                 b["typ"].alias("typ"),
