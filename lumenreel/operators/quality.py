@@ -47,33 +47,32 @@ def check_reads(catalog: DataFrame, max_reads: int = 6, max_bytes: int = 6 * 102
     ).select("file_id", "stats.reads", "stats.bytes_read")
 
 
-def check_bytes(clips: DataFrame, originals: DataFrame) -> DataFrame:
-    """Exported clips that differ from their original or have none (Q2); both sides: name, sha256."""
-    left = clips.select("name", F.col("sha256").alias("got"))
-    right = originals.select("name", F.col("sha256").alias("expected"))
-    return left.join(right, "name", "full").filter(~F.col("got").eqNullSafe(F.col("expected")))
+def check_bytes(clips: DataFrame, originals: DataFrame, key: str = "file_id") -> DataFrame:
+    """Exported clips that differ from their original or have none (Q2); both sides: ``key``, sha256.
 
+    ``key`` must tell files apart; names don't.
+    """
+    left = clips.select(key, F.col("sha256").alias("got"))
+    right = originals.select(key, F.col("sha256").alias("expected"))
+    return left.join(right, key, "full").filter(~F.col("got").eqNullSafe(F.col("expected")))
 
-def check_plain_stills(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
+
+def check_plain_stills(catalog: DataFrame, manifest: DataFrame, key: str = "file_id") -> DataFrame:
     """Files labelled as plain stills that got a plan (Q5)."""
-    stills = manifest.filter(F.col("expected_kind") == "still").select("name")
-    return catalog.join(stills, "name", "left_semi").filter(F.col("plan").isNotNull()).select(
-        "file_id", "name"
-    )
+    stills = manifest.filter(F.col("expected_kind") == "still").select(key)
+    return catalog.join(stills, key, "left_semi").filter(F.col("plan").isNotNull()).select("file_id", "name")
 
 
-def check_manifest(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
+def check_manifest(catalog: DataFrame, manifest: DataFrame, key: str = "file_id") -> DataFrame:
     """Labelled files whose library kind differs or that are missing (Q7)."""
-    kinds = catalog.select("name", "library_kind")
-    return manifest.join(kinds, "name", "left").filter(
-        ~F.col("expected_kind").eqNullSafe(F.col("library_kind"))
-    )
+    kinds = catalog.select(key, "library_kind")
+    return manifest.join(kinds, key, "left").filter(~F.col("expected_kind").eqNullSafe(F.col("library_kind")))
 
 
-def check_expected(catalog: DataFrame, expected: DataFrame) -> DataFrame:
-    """Named samples whose clip range differs from the expected one."""
+def check_expected(catalog: DataFrame, expected: DataFrame, key: str = "file_id") -> DataFrame:
+    """Samples whose clip range differs from the expected one."""
     actual = catalog.select(
-        "name", F.col("motion.video.off").alias("off"), F.col("motion.video.len").alias("len")
+        key, F.col("motion.video.off").alias("off"), F.col("motion.video.len").alias("len")
     )
     same = F.col("off").eqNullSafe(F.col("video_off")) & F.col("len").eqNullSafe(F.col("video_len"))
-    return expected.join(actual, "name", "left").withColumn("matches", same)
+    return expected.join(actual, key, "left").withColumn("matches", same)

@@ -138,7 +138,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = cat.with_kind(cat.finish_catalog(scanned(spark, sf)))
     labels = rows.select(
-        "name", F.when(F.col("shape") == "mp4", "video").when(F.col("shape").isin("jpeg", "png"), "still")
+        "file_id", F.when(F.col("shape") == "mp4", "video").when(F.col("shape").isin("jpeg", "png"), "still")
         .otherwise("motion").alias("expected_kind"),
     )
     checks = {

@@ -315,4 +315,4 @@ def _(spark, sf):
     orders = synth.table(spark, sf, "orders").select(F.col("o_orderkey").alias("name"), "o_custkey").join(low, "name", "left")
     claim = F.when(F.col("o_custkey") % 2 == 0, F.col("q")).otherwise(7)
     expected = orders.select("name", claim.alias("video_off"), claim.alias("video_len"))
-    return quality.check_expected(catalog, expected).select("name", "matches")
+    return quality.check_expected(catalog, expected, key="name").select("name", "matches")
