@@ -24,6 +24,8 @@ from .common import texts, written
 #: Hashes of a sketch, and words of a shingle.
 K = 128
 SIZE = 5
+#: Stands for a null doc_id, before all others; a document of this id counts as one without.
+NO_ID = -(2**63)
 
 
 def _let(value: Column, body) -> Column:
@@ -103,8 +105,9 @@ def edited_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     the next document. A document takes part twice, for itself and for the one before it; only its first code
     points and its sketch move to that one.
     """
+    # both uses of a text read the same three columns, so its one shuffle serves both
     rows = texts(docs).select(
-        "doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.unhex(F.sha2("text", 256)).alias("sha"), "text"
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.unhex(F.sha2("text", 256)).alias("sha"), "text"
     )
     keys = rows.select("k", "sha", F.length("text").cast("long").alias("n_chars")).distinct()
     after = written(successors(keys)).withColumn("part", F.floor(F.col("n_chars") / 4).cast("int"))
@@ -120,7 +123,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     joined = rows.join(heads, ["k", "sha"])
     own = F.substring("text", F.lit(1), (F.col("n_chars") - F.col("part")).cast("int"))
     found = joined.select(
-        "doc_id", "n_chars", "next_sketch", "text", F.concat(own, "head").alias("edited")
+        F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_chars", "next_sketch", "text", F.concat(own, "head").alias("edited")
     ).select(
         "doc_id", "n_chars", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"),
         sketch(F.col("text"), k).alias("own_sketch"), sketch(F.col("edited"), k).alias("edited_sketch"),
