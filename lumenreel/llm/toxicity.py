@@ -90,14 +90,16 @@ def fit(features: list[np.ndarray], toxic: list[bool], share: float) -> Model:
     prior = math.log(share / (1 - share))
     if not len(y) or y.all() or not y.any():
         return Model(np.zeros(BUCKETS), prior)
-    index = np.concatenate(features)
-    rows = np.repeat(np.arange(len(y)), [len(f) for f in features])
-    counts = [np.bincount(index[(y == label)[rows]], minlength=BUCKETS) for label in (False, True)]
-    shares = [(c + SMOOTH) / ((y == label).sum() + 2 * SMOOTH) for label, c in zip((False, True), counts)]
+    counts = np.zeros((2, BUCKETS))
+    for own, label in zip(features, y):
+        counts[int(label), own] += 1  # a text's features are distinct
+    sizes = np.array([(~y).sum(), y.sum()])
+    shares = (counts + SMOOTH) / (sizes + 2 * SMOOTH)[:, None]
     ratio = np.log(shares[1]) - np.log(shares[0])
-    ratio[(counts[0] + counts[1] < LEAST_ROWS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
-    telling = ratio[index] != 0
-    index, rows = index[telling], rows[telling]
+    ratio[(counts.sum(axis=0) < LEAST_ROWS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
+    telling = [own[ratio[own] != 0] for own in features]
+    index = np.concatenate(telling)
+    rows = np.repeat(np.arange(len(y)), [len(own) for own in telling])
     values = ratio[index]
     weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     w, b = np.full(BUCKETS, 0.01), 0.0
