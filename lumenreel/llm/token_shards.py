@@ -18,8 +18,8 @@ the order of their texts; the key leads to the first. An empty table gives no sh
 
 from __future__ import annotations
 
+import os
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import urlsplit
@@ -40,6 +40,8 @@ from .common import texts
 BUCKET, GROUP = 8192, 4
 #: Words whose ids a worker keeps in each of two tables, and the longest of them.
 KEPT_WORDS, KEPT_LENGTH = 300_000, 48
+#: Texts whose new words are asked for at once.
+TEXTS = 64
 #: Bytes of ids that are gathered before they are written.
 PIECE = 4 << 20
 INDEX = "bucket int, n int, moves binary, prints binary, shards binary, offsets binary, lengths binary"
@@ -59,6 +61,8 @@ class WordCoder:
     """
 
     def __init__(self, path: str):
+        # tasks are the threads here; the library must not start eight of its own in each
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -69,21 +73,30 @@ class WordCoder:
         self.older: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        codes = self.library.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(c.ids, dtype=self.kind).tobytes() for w, c in zip(words, codes)}
-
-    def encode(self, text: str) -> bytes:
-        words = text.split(" ")
-        found = list(map(self.kept.get, words))
-        if None in found:
-            new = {w for w, f in zip(words, found) if f is None}
+        """Codes of new words: one text of them all, its ids told apart by where they begin."""
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        ids = np.array(found.ids, dtype=self.kind).tobytes()
+        places = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found.ids))
+        ends = np.searchsorted(places, begins[1:]) if len(places) else np.zeros(len(words) - 1, dtype=np.int64)
+        cuts = [0, *(ends * int(self.kind[-1])).tolist(), len(ids)]
+        return {w: ids[x:y] for w, x, y in zip(words, cuts[:-1], cuts[1:])}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [text.split(" ") for text in texts]
+        found = [list(map(self.kept.get, words)) for words in parts]
+        new = {w for words, f in zip(parts, found) if None in f for w, code in zip(words, f) if code is None}
+        if new:
             known = {w: self.older[w] for w in new if w in self.older}
-            known |= self.learn([w for w in new if w not in known])
-            found = [known[w] if f is None else f for w, f in zip(words, found)]
+            if unknown := [w for w in new if w not in known]:
+                known |= self.learn(unknown)
+            for k, f in enumerate(found):
+                if None in f:
+                    found[k] = [known[w] if code is None else code for w, code in zip(parts[k], f)]
             if len(self.kept) + len(known) > KEPT_WORDS:
                 self.kept, self.older = {"": b""}, self.kept
             self.kept.update((w, c) for w, c in known.items() if len(w) <= KEPT_LENGTH)
-        return b"".join(found)
+        return [b"".join(f) for f in found]
 
 
 @lru_cache(maxsize=2)
@@ -105,16 +118,16 @@ def _written(folder: str, path: str, end_id: int):
             if not batch.num_rows:
                 continue
             lengths = []
-            for text in batch.column("text"):
-                ids = coder.encode(text.as_py()) + end
-                lengths.append(len(ids) // len(end))
-                waiting.append(ids)
-                held += len(ids)
-                if held >= PIECE:
-                    sink = sink or store.open_output_stream(partial)
-                    sink.write(b"".join(waiting))
-                    waiting.clear()
-                    held = 0
+            for at in range(0, batch.num_rows, TEXTS):
+                for ids in coder.encode(batch.column("text")[at : at + TEXTS].to_pylist()):
+                    waiting.append(ids + end)
+                    lengths.append(len(waiting[-1]) // len(end))
+                    held += len(waiting[-1])
+                    if held >= PIECE:
+                        sink = sink or store.open_output_stream(partial)
+                        sink.write(b"".join(waiting))
+                        waiting.clear()
+                        held = 0
             starts = offset + np.cumsum([0, *lengths[:-1]])
             offset += sum(lengths)
             yield pa.RecordBatch.from_arrays(
