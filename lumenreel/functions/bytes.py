@@ -36,6 +36,24 @@ def usable_windows(wins: Column) -> Column:
     )
 
 
+def join_windows(wins: Column) -> Column:
+    """Windows by offset, those that touch or overlap as one, so that a box across their border is visible."""
+
+    def add(acc: Column, w: Column) -> Column:
+        def grown(last: Column) -> Column:
+            end = last["off"] + last["len"]
+            rest = F.substring(w["data"], (end - w["off"] + 1).cast("int"), F.length(w["data"]))
+            joined = F.when(w["off"] + w["len"] <= end, last["data"]).otherwise(F.concat(last["data"], rest))
+            return F.when(
+                F.coalesce(w["off"] <= end, F.lit(False)),
+                F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(window(last["off"], joined))),
+            ).otherwise(F.concat(acc, F.array(w)))
+
+        return let(F.try_element_at(acc, F.lit(-1)), grown)
+
+    return F.aggregate(F.array_sort(F.filter(wins, lambda w: w["len"] > 0)), empty(WINDOW), add)
+
+
 def long(value: int | Column) -> Column:
     return value.cast("bigint") if isinstance(value, Column) else F.lit(value).cast("bigint")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytes import WINDOW, long, usable_windows, window
+from ..functions.bytes import WINDOW, join_windows, long, usable_windows, window
 from ..functions.flow import let, null
 from ..operators.merge import merge_stages, upsert
 from ..session import materialise
@@ -107,7 +107,7 @@ def probe_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]
     read = read.withColumn("head", F.coalesce(new_head, "head")).withColumn(
         "tail", F.coalesce(new_tail, "tail")
     )
-    read = read.withColumn("wins", F.array_compact(F.array("head", "tail"))).withColumn(
+    read = read.withColumn("wins", join_windows(F.array_compact(F.array("head", "tail")))).withColumn(
         "last_len", F.coalesce(F.col("tail.len"), F.col("head.len"), long(0))
     )
     read = read.drop("want", "got", "_ranges").withColumn("passes", F.col("passes") + 1)

@@ -157,20 +157,10 @@ LABELS = ["doc_id", "kind", "container", "family", "method", "video_off", "video
 LABELS_SQL = f"SELECT {', '.join(LABELS)} FROM ({ROUTE_SQL})"
 
 
-@query(
-    "scan_narrow_windows",
-    LABELS_SQL.replace(
-        "FROM res",
-        "FROM res WHERE shape IN ('jpeg','png','mp4','jpeg-trailer','jpeg-pointer','jpeg-directory','jpeg-micro')",
-    ),
-)
+@query("scan_narrow_windows", LABELS_SQL)
 def _(spark, sf):
-    """Small windows force the further passes; the routes that name a range must not change.
-
-    A movie that lies between such windows is beyond the read budget, so clips found by their tables are left out.
-    """
-    kept = ["jpeg", "png", "mp4", "jpeg-trailer", "jpeg-pointer", "jpeg-directory", "jpeg-micro"]
-    return routes(scanned(spark, sf, NARROW).filter(F.col("shape").isin(kept))).select(*LABELS)
+    """Small windows force the further passes; the routes must not change."""
+    return routes(scanned(spark, sf, NARROW)).select(*LABELS)
 
 
 @query("deep_scan", LABELS_SQL)
