@@ -55,11 +55,11 @@ def plan_struct(parts: Column, direct: Column) -> Column:
     )
 
 
-def request(target: str, off: Column, n: Column, region: Column, reason: str) -> Column:
+def request(target: str, off: Column, n: Column, region: Column, reason: str | Column) -> Column:
     return F.struct(
         F.lit(target).alias("target"), off.cast("bigint").alias("off"), n.cast("bigint").alias("bytes"),
         region["off"].alias("region_off"), region["len"].alias("region_len"),
-        F.lit(reason).alias("reason"),
+        (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"),
     )
 
 
@@ -68,7 +68,7 @@ def _flag(column: Column) -> Column:
 
 
 def probe_result() -> Column:
-    """Result of the first stage from ``found, exif, tables, cand, clip, rebuilt, last_len``."""
+    """Result of the first stage from ``found, exif, tables, cand, clip, rebuilt, last_len, whole``."""
     f, exif, cand, clip = F.col("found"), F.col("exif"), F.col("cand"), F.col("clip")
     tables, rebuilt, size = F.col("tables"), F.col("rebuilt"), F.col("size")
     facts = f["facts"]
@@ -127,23 +127,17 @@ def probe_result() -> Column:
         F.when(free_ready, rebuilt["span"]), none_range,
     )
 
-    need = F.when(named_range & _flag(rebuilt["state"] == "need"), rebuilt["need"])
-    wants_tail = (
-        cand["fallback"] & ~ready & (declared | (F.size(f["directory"]) > 0))
-        & (F.col("last_len") < routes.TAIL_WINDOW_MAX)
-    )
-    tail_bytes = F.least(
-        F.greatest(F.col("last_len") * 4, long(routes.TAIL_WINDOW)), long(routes.TAIL_WINDOW_MAX)
-    )
+    need = F.coalesce(clip["need"], F.when(_flag(rebuilt["state"] == "need"), rebuilt["need"]))
+    wants_tail = cand["fallback"] & ~ready & (declared | (F.size(f["directory"]) > 0)) & ~F.col("whole")
+    tail_bytes = F.least(F.greatest(F.col("last_len") * 4, long(routes.TAIL_WINDOW)), size)
     no_region = null(routes.RANGE)
     read_more = (
         F.when(
-            attempt == "window",
-            request("window", cand["video"]["off"], clip["want"], cand["video"], routes.READ_HEADER),
-        )
-        .when(
             need.isNotNull(),
-            request("window", need["off"], need["len"], cand["video"], routes.READ_HEADER),
+            request(
+                "window", need["off"], need["len"], F.when(~f["is_video"], cand["video"]),
+                F.when(ready, routes.READ_MOVIE).otherwise(routes.READ_HEADER),
+            ),
         )
         .when(wants_tail, request("tail", null("bigint"), tail_bytes, no_region, routes.READ_TAIL))
         .when(
@@ -153,7 +147,7 @@ def probe_result() -> Column:
     )
     reason = (
         F.when(attempt == "split", routes.SPLIT_REASON)
-        .when((attempt == "window") | need.isNotNull(), routes.READING_HEADER)
+        .when(need.isNotNull() & ~ready, routes.READING_HEADER)
         .when(named_range & (attempt == "tables") & ~rebuilt_ready, rebuilt["reason"])
         .when(wants_tail, routes.READING_TAIL)
     )
@@ -241,9 +235,7 @@ def region_result() -> Column:
         rebuilt_ready, rebuilt["parts"]
     )
     summary = F.coalesce(clip["summary"], F.when(rebuilt_ready, rebuilt["summary"]))
-    need = F.when(
-        clip["attempt"] == "window", routes.span(region["off"], clip["want"])
-    ).when(_flag(rebuilt["state"] == "need"), rebuilt["need"])
+    need = F.coalesce(clip["need"], F.when(_flag(rebuilt["state"] == "need"), rebuilt["need"]))
     nothing = (need["len"] == 0) | (need["off"] >= F.col("size"))
     covered = (need["off"] == region["off"]) & (need["len"] >= region["len"])
     go_on = need.isNotNull() & ~nothing & ~covered
@@ -282,7 +274,9 @@ def region_result() -> Column:
                 reason.alias("reason"),
             ),
             "plan": plan_struct(parts, sliced.isNotNull()),
-            "read_more": F.when(go_on, request("window", need["off"], need["len"], region, FURTHER)),
+            "read_more": F.when(go_on, request(
+                "window", need["off"], need["len"], region, F.when(ready, routes.READ_MOVIE).otherwise(FURTHER)
+            )),
             "markers": F.array(), "boxes": F.array(), "notes": F.array(),
         }
     )

@@ -16,7 +16,7 @@ from ..operators.placement import (
     chunk_bytes, chunk_first_sample, chunk_samples_per, even_chunk_bytes, media_spans,
 )
 from ..structures.movie import SUMMARY
-from .routes import PART, RANGE, SCAN_LIMIT, span
+from .routes import PART, RANGE, WINDOW_SLACK, span
 
 KEYS = ["file_id", "start"]
 REBUILT = (
@@ -27,14 +27,12 @@ REBUILT = (
 # The header that opens a rebuilt clip, and limits and texts of the route.
 REBUILT_FTYP = b"\x00\x00\x00\x20ftypisom\x00\x00\x00\x00isomiso2avc1mp41"
 SPAN_SLACK = 1024 * 1024
-WINDOW_SLACK = 4096
 NO_MOOV = "no moov box is visible"
 NO_TABLE = "no usable sample table"
 FRAGMENTED = "fragmented MP4 (moof) is not supported yet"
 OUTSIDE = "sample table points outside the file"
 TOO_LARGE = "sample span is implausibly large"
 NO_MATCH = "sample table does not match the metadata range"
-PARTIAL = "moov box is only partially readable"
 NO_FIT = "chunk offsets do not fit the file layout"
 
 
@@ -99,10 +97,7 @@ def judge_tracks(tracks: DataFrame, spans: DataFrame) -> DataFrame:
             .when((col("span_off") < 8) | (end > col("size")), OUTSIDE)
             .when(col("span_len") > col("sample_bytes") * 2 + SPAN_SLACK, TOO_LARGE)
             .when(~match, NO_MATCH)
-            .when(
-                ~col("visible"),
-                F.when(col("start") + col("msize") > int_div(col("size"), F.lit(2)), "need").otherwise(PARTIAL),
-            )
+            .when(~col("visible"), "need")
             .when(~F.coalesce(fits, F.lit(False)), NO_FIT)
             .otherwise("ready")
         )
@@ -211,7 +206,7 @@ def resolve_tables(rows: DataFrame) -> DataFrame:
     )
     ready = F.col("state") == "ready"
     need_off = F.greatest(F.col("pick.start") - WINDOW_SLACK, long(0))
-    need_len = F.least(F.col("pick.msize") + WINDOW_SLACK, long(SCAN_LIMIT))
+    need_len = F.col("pick.start") + F.col("pick.msize") - need_off
     rebuilt = F.struct(
         F.coalesce("state", F.lit("unsupported")).alias("state"),
         F.when(ready, let(track, lambda t: rebuild_parts(t, F.col("pick")))).alias("parts"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytes import has, long, read_at, read_upto, int_table, usable_windows
+from ..functions.bytes import has, long, read_at, read_upto, int_table, usable_windows, walk_boxes
 from ..functions.codecs import VIDEO_BRANDS
 from ..functions.flow import (
     Env, Step, apply_steps, cached_steps, empty, first_where, let, named, null,
@@ -31,16 +31,16 @@ TRACK_TABLE = (
 )
 
 # Window sizes, and the texts that appear in results.
-HEAD_WINDOW_MAX = 1024 * 1024
 TAIL_WINDOW = 64 * 1024
-TAIL_WINDOW_MAX = 2 * 1024 * 1024
 REGION_WINDOW = 192 * 1024
-SCAN_LIMIT = 8 * 1024 * 1024
+HEADER_WINDOW = 64 * 1024
+WINDOW_SLACK = 4096
 MIN_STILL = 128
 STILLS = ["jpeg", "heif", "avif", "png", "webp", "gif", "tiff"]
 SPLIT_REASON = "video payload is split across several extents"
 READ_HEADER = "read the video header"
 READING_HEADER = "reading the video header"
+READ_MOVIE = "read the movie box"
 READ_TABLE = "finish reading the HEIF item table"
 READ_TAIL = "motion photo declared but the video header is not in the tail window"
 READING_TAIL = "reading more of the file tail"
@@ -276,9 +276,7 @@ def candidate_steps() -> list[Step]:
                 "method": F.when(ok, r["method"]),
                 "split": ok & r["split"],
                 "fallback": ~f["is_video"] & ~ok & f["container"].isin(STILLS),
-                "ask_head": F.when(
-                    ask_head, F.least(f["meta"]["data_end"], long(HEAD_WINDOW_MAX))
-                ),
+                "ask_head": F.when(ask_head, f["meta"]["data_end"]),
                 "still_len": F.when(
                     (f["container"] == "jpeg") & f["clip"].isNull()
                     & packets.item_is_image(image["mime"]),
@@ -294,8 +292,9 @@ def candidate_steps() -> list[Step]:
 def clip_steps() -> list[Step]:
     """Columns ``movies`` and ``clip``: what the visible bytes say about a claimed range.
 
-    ``clip.attempt`` is one of video, split, direct, window, tables, appended, none. Needs the
-    columns ``video``, ``split``, ``fallback`` and ``is_video``.
+    ``clip.attempt`` is one of video, split, direct, window, tables, appended, none; ``clip.need`` is
+    the range to read next: the start of the claimed range, a movie box that is not all visible, or
+    the next header of the clip. Needs the columns ``video``, ``split``, ``fallback`` and ``is_video``.
     """
     env = {
         **_windows(), "video": F.col("video"), "split": F.col("split"),
@@ -326,12 +325,38 @@ def clip_steps() -> list[Step]:
             .when(e["direct"].isNotNull(), F.array(e["direct"]))
             .when(e["appended"].isNotNull(), F.array(e["appended"]["moov"]))
             .when((e["video"].isNotNull() & ~e["split"] & e["visible"]) | e["fallback"], every)
-            .otherwise(empty("struct<typ:string,start:bigint,size:bigint,data_start:bigint,data_end:bigint>"))
+            .otherwise(empty("struct<typ:string,start:bigint,size:bigint,data_start:bigint,data_end:bigint>")),
+            "chain": F.when(
+                e["direct"].isNull() & e["video"].isNotNull() & e["visible"] & ~e["split"] & ~e["is_video"],
+                walk_boxes(e["wins"], e["video"]["off"], e["video"]["off"] + e["video"]["len"]),
+            ).when(e["is_video"] & (F.size(every) == 0), walk_boxes(e["wins"], long(0), e["size"])),
+        }
+
+    def needs(e: Env) -> Env:
+        v = e["video"]
+        missing = first_where(e["roots"], lambda b: ~has(e["wins"], b["start"], b["size"]))
+        end = F.when(e["is_video"], e["size"]).otherwise(v["off"] + v["len"])
+        last = F.try_element_at(e["chain"], F.lit(-1))["data_end"]
+        unseen = F.coalesce(
+            (F.get(e["chain"], F.lit(0))["typ"] == "ftyp") & (last <= end - 8)
+            & ~has(e["wins"], last, F.least(end - last, F.lit(16))),
+            F.lit(False),
+        )
+        hidden = v.isNotNull() & ~e["split"] & ~e["is_video"] & e["direct"].isNull() & ~e["visible"]
+        return {
+            "hidden": F.coalesce(hidden, F.lit(False)),
+            "need": F.when(hidden, span(v["off"], e["want"])).when(
+                missing.isNotNull(),
+                let(
+                    F.greatest(missing["start"] - WINDOW_SLACK, long(0)),
+                    lambda at: span(at, F.least(missing["data_end"] + WINDOW_SLACK, e["size"]) - at),
+                ),
+            ).when(unseen, span(last, F.least(end - last, long(HEADER_WINDOW)))),
         }
 
     checked = step_columns(
-        env, ranges, seen, roots, out="checked",
-        result=lambda e: named({k: e[k] for k in ("direct", "appended", "want", "visible", "roots")}),
+        env, ranges, seen, roots, needs, out="checked",
+        result=lambda e: named({k: e[k] for k in ("direct", "appended", "need", "hidden", "roots")}),
     )
     parsed = movie.movie_steps(
         {"wins": usable_windows(F.col("wins")), "roots": F.col("checked.roots")}, "movies"
@@ -344,9 +369,10 @@ def clip_steps() -> list[Step]:
             "attempt": F.when(e["is_video"], "video")
             .when(e["split"], "split")
             .when(c["direct"].isNotNull(), "direct")
-            .when(v.isNotNull() & ~c["visible"], "window")
-            .when(v.isNotNull(), "tables")
+            .when(c["hidden"], "window")
             .when(c["appended"].isNotNull(), "appended")
+            .when(c["need"].isNotNull(), "window")
+            .when(v.isNotNull(), "tables")
             .when(e["fallback"] & (F.size(e["movies"]) > 0), "tables")
             .otherwise("none")
         }
@@ -394,7 +420,7 @@ def clip_steps() -> list[Step]:
             {
                 "attempt": e["attempt"],
                 "slice": whole,
-                "want": c["want"],
+                "need": c["need"],
                 "any_moov": F.size(c["roots"]) > 0,
                 "summary": F.when(
                     whole.isNotNull(), movie.movie_summary(F.get(e["movies"], F.lit(0)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytes import WINDOW, join_windows, long, usable_windows, window
-from ..functions.flow import let, null
+from ..functions.flow import empty, let, null
 from ..operators.merge import merge_stages, upsert
 from ..session import materialise
 from ..structures.containers import sniff
@@ -18,24 +18,19 @@ from . import outcome, rebuild, routes
 
 @dataclass(frozen=True)
 class Limits:
-    """Bytes and reads a scan may spend on one file."""
+    """Bytes of the first read at each end; what a file needs beyond them follows from its boxes."""
 
     head_bytes: int = 64 * 1024
     tail_bytes: int = 64 * 1024
-    max_head_bytes: int = 1024 * 1024
-    max_tail_bytes: int = 2 * 1024 * 1024
-    max_window_bytes: int = 512 * 1024
-    max_reads: int = 6
-    max_bytes: int = 6 * 1024 * 1024
-    max_passes: int = 8
-    max_windows: int = 2
 
 
 DEFAULT = Limits()
-DEEP = Limits(
-    head_bytes=2 * 1024 * 1024, tail_bytes=2 * 1024 * 1024, max_head_bytes=8 * 1024 * 1024,
-    max_tail_bytes=8 * 1024 * 1024, max_reads=24, max_bytes=24 * 1024 * 1024,
-)
+DEEP = Limits(head_bytes=2 * 1024 * 1024, tail_bytes=2 * 1024 * 1024)
+
+# The longest range that is held as one value, whose text in hexadecimal must fit a value too.
+LONGEST = 2**30 - 2**16
+NO_PROGRESS = "the range asked for was read and gave nothing new"
+TOO_LONG = "the range asked for is longer than one value can hold"
 
 # A reader adds ``got`` (array of window structs, one per entry of ``want``) and ``read_error``.
 Reader = Callable[[DataFrame], DataFrame]
@@ -97,17 +92,21 @@ def probe_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]
     """
     head_range, tail_range = requested_ranges(limits)
     rows = rows.withColumn("_ranges", F.struct(head_range.alias("h"), tail_range.alias("t")))
-    rows = rows.withColumn("want", F.array_compact(F.array("_ranges.h", "_ranges.t")))
+    rows = rows.withColumn("want", F.array_compact(F.array("_ranges.h", "_ranges.t", "mid_want")))
     read = _charge(reader(rows))
     new_head = F.when(F.col("_ranges.h").isNotNull(), F.get("got", F.lit(0)))
     new_tail = F.when(
         F.col("_ranges.t").isNotNull(),
         F.get("got", F.when(F.col("_ranges.h").isNotNull(), 1).otherwise(0)),
     )
-    read = read.withColumn("head", F.coalesce(new_head, "head")).withColumn(
-        "tail", F.coalesce(new_tail, "tail")
-    )
-    read = read.withColumn("wins", join_windows(F.array_compact(F.array("head", "tail")))).withColumn(
+    new_mid = F.when(F.col("mid_want").isNotNull(), F.try_element_at("got", F.lit(-1)))
+    read = read.withColumns(
+        {
+            "head": F.coalesce(new_head, "head"), "tail": F.coalesce(new_tail, "tail"),
+            "mids": join_windows(F.array_compact(F.concat("mids", F.array(new_mid)))),
+        }
+    ).withColumn("whole", F.coalesce(F.col("head.len") >= F.coalesce("tail.off", "size"), F.lit(False)))
+    read = read.withColumn("wins", join_windows(F.array_compact(F.concat(F.array("head", "tail"), "mids")))).withColumn(
         "last_len", F.coalesce(F.col("tail.len"), F.col("head.len"), long(0))
     )
     read = read.drop("want", "got", "_ranges").withColumn("passes", F.col("passes") + 1)
@@ -129,63 +128,65 @@ def probe_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]
         | F.col("video").isNotNull()
     )
     keep = (
-        (F.col("clip.attempt") == "window") | undecided | F.col("cand.ask_head").isNotNull()
+        (F.col("clip.attempt") == "tables") | undecided | F.col("clip.need").isNotNull()
+        | F.col("cand.ask_head").isNotNull()
     )
-    slim = {c: F.when(keep, F.col(c)) for c in ["head", "tail", *carry]}
+    slim = {c: F.when(keep, F.col(c)) for c in ["head", "tail", "mids", *carry]}
     settled = _settle(materialise(seen.withColumns(slim)))
     result = F.when(
         F.col("read_error").isNotNull(), outcome.unread_result(F.col("read_error"))
     ).otherwise(outcome.probe_result())
     return materialise(
         settled.withColumn("result", result).drop(
-            "found", "exif", "tables", "cand", "clip", "rebuilt", "video", "last_len"
+            "found", "exif", "tables", "cand", "clip", "rebuilt", "video", "last_len",
+            "whole", "mid_want",
         )
     )
 
 
-def next_step(limits: Limits) -> Column:
-    """``probe``, ``window`` or NULL when the row is finished."""
-    more = F.col("result.read_more")
-    wanted = F.when(more["target"] == "head", F.least(more["bytes"], long(limits.max_head_bytes))).when(
-        more["target"] == "tail", F.least(more["bytes"], long(limits.max_tail_bytes))
-    )
-    have = F.when(more["target"] == "head", F.col("head.len")).otherwise(F.col("tail.len"))
-    grows = wanted > F.coalesce(have, long(0))
-    budget = (F.col("reads") < limits.max_reads) & (F.col("bytes_read") < limits.max_bytes)
-    open_ = F.col("result.plan").isNull() & more.isNotNull() & F.col("read_error").isNull()
-    return F.when(
-        open_ & (more["target"] == "window") & (F.col("windows") < limits.max_windows)
-        & (F.col("reads") < limits.max_reads),
-        "window",
-    ).when(
-        open_ & more["target"].isin("head", "tail") & grows & budget
-        & (F.col("passes") < limits.max_passes),
-        "probe",
-    )
-
+def with_next(rows: DataFrame) -> DataFrame:
+    """Add ``_next``, which is ``probe``, ``window`` or NULL when the row is finished, and ``open_reason``.
 
-def window_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]) -> DataFrame:
-    """Read the asked range, finish the plan with it and the tail, and merge."""
+    A request follows from the bytes read so far, so the same one twice means that there was no progress.
+    """
+    more, last = F.col("result.read_more"), F.col("last_more")
+    asks = F.coalesce(
+        more.isNotNull() & F.col("read_error").isNull()
+        & (F.col("result.plan").isNull() | (more["reason"] == routes.READ_MOVIE)),
+        F.lit(False),
+    )
+    again = last.isNotNull()
+    for part in ("target", "off", "bytes"):
+        again = again & more[part].eqNullSafe(last[part])
+    why = F.when(asks & again, NO_PROGRESS).when(asks & (more["bytes"] > LONGEST), TOO_LONG)
+    kind = F.when((more["target"] == "window") & more["region_off"].isNotNull(), "window").otherwise("probe")
+    rows = rows.withColumn("open_reason", why)
+    rows = rows.withColumn("_next", F.when(asks & F.col("open_reason").isNull(), kind))
+    return rows.withColumn("last_more", more)
+
+
+def window_pass(rows: DataFrame, reader: Reader, carry: list[str]) -> DataFrame:
+    """Read the asked range, finish the plan with it, the tail and former ranges, and merge."""
     more, size = F.col("result.read_more"), F.col("size")
-    n = F.least(more["bytes"], long(limits.max_window_bytes), size - more["off"])
+    n = F.least(more["bytes"], size - more["off"])
     rows = rows.withColumn(
         "want",
         F.array_compact(F.array(F.when(n > 0, F.struct(more["off"].alias("off"), n.alias("len"))))),
     )
-    read = _charge(reader(rows)).withColumns(
+    read = _charge(reader(rows))
+    read = read.withColumn("mids", join_windows(F.array_compact(F.concat("mids", "got")))).withColumns(
         {
-            "wins": F.array_compact(F.concat("got", F.array("tail"))),
+            "wins": join_windows(F.array_compact(F.concat("mids", F.array("tail")))),
             "video": routes.span(more["region_off"], more["region_len"]),
             "split": F.lit(False), "fallback": F.lit(False), "is_video": F.lit(False),
-            "windows": F.col("windows") + 1,
         }
     )
     read = read.withColumn(
         "seen_container", let(usable_windows(F.col("wins")), sniff)["container"]
     ).drop("want", "got")
     seen = routes.with_clip(read).drop("wins", "split", "fallback", "is_video")
-    keep = F.col("clip.attempt").isin("window", "tables")
-    slim = {c: F.when(keep, F.col(c)) for c in ["head", "tail", *carry]}
+    keep = (F.col("clip.attempt") == "tables") | F.col("clip.need").isNotNull()
+    slim = {c: F.when(keep, F.col(c)) for c in ["head", "tail", "mids", *carry]}
     settled = _settle(materialise(seen.withColumns(slim)))
     merged = F.when(F.col("read_error").isNotNull(), outcome.unread_result(F.col("read_error"))).otherwise(
         merge_stages(F.col("result"), outcome.region_result())
@@ -204,7 +205,8 @@ def scan(
     """Scan ``files`` (file_id, path, name, size, mtime_ms, …) into catalog rows.
 
     ``carry`` names heavy columns that only the reader needs; they stay with unfinished rows and
-    are not part of the result. Each pass handles only the rows that asked for it and writes its
+    are not part of the result. Passes go on until no row asks for more; one that makes no progress is
+    left with an ``open_reason``. Each pass handles only the rows that asked for it and writes its
     result to the checkpoint folder, so a lost executor repeats one pass at most.
     """
     if carry is None:
@@ -214,8 +216,9 @@ def scan(
         {
             "head": null(WINDOW), "tail": null(WINDOW),
             "head_want": long(limits.head_bytes), "tail_want": long(limits.tail_bytes),
-            "reads": F.lit(0), "bytes_read": long(0), "passes": F.lit(0), "windows": F.lit(0),
-            "read_error": null("string"),
+            "reads": F.lit(0), "bytes_read": long(0), "passes": F.lit(0),
+            "mids": empty(WINDOW), "mid_want": null(routes.RANGE), "last_more": null(routes.READ_MORE),
+            "open_reason": null("string"), "read_error": null("string"),
         }
     )
     empty_rows = start.filter(F.col("size") == 0).withColumn(
@@ -224,33 +227,25 @@ def scan(
     finished = [_catalog_rows(empty_rows, plain)]
     waiting = []
     pending = start.filter(F.col("size") > 0)
-    for _ in range(limits.max_passes):
-        done = probe_pass(pending, reader, limits, carry).withColumn("_next", next_step(limits))
+    while True:
+        done = with_next(probe_pass(pending, reader, limits, carry))
         finished.append(_catalog_rows(done.filter(F.col("_next").isNull()), plain))
         waiting.append(done.filter(F.col("_next") == "window").drop("_next"))
         more = F.col("result.read_more")
         pending = done.filter(F.col("_next") == "probe").withColumns(
             {
-                "head_want": F.when(
-                    more["target"] == "head", F.least(more["bytes"], long(limits.max_head_bytes))
-                ).otherwise(F.col("head_want")),
-                "tail_want": F.when(
-                    more["target"] == "tail", F.least(more["bytes"], long(limits.max_tail_bytes))
-                ).otherwise(F.col("tail_want")),
+                "head_want": F.when(more["target"] == "head", more["bytes"]).otherwise(F.col("head_want")),
+                "tail_want": F.when(more["target"] == "tail", more["bytes"]).otherwise(F.col("tail_want")),
+                "mid_want": F.when(more["target"] == "window", routes.span(more["off"], more["bytes"])),
             }
         ).drop("_next", "result")
         if pending.isEmpty():
             break
-    else:
-        finished.append(_catalog_rows(done.filter(F.col("_next") == "probe"), plain))
     asked = _union(waiting)
-    for _ in range(limits.max_windows):
-        if asked.isEmpty():
-            break
-        done = window_pass(asked, reader, limits, carry).withColumn("_next", next_step(limits))
-        again = F.col("_next") == "window"
-        finished.append(_catalog_rows(done.filter(~F.coalesce(again, F.lit(False))), plain))
-        asked = done.filter(again).drop("_next")
+    while not asked.isEmpty():
+        done = with_next(window_pass(asked, reader, carry))
+        finished.append(_catalog_rows(done.filter(F.col("_next").isNull()), plain))
+        asked = done.filter(F.col("_next").isNotNull()).drop("_next")
     return _union(finished)
 
 
@@ -268,6 +263,7 @@ def _catalog_rows(df: DataFrame, plain: list[str]) -> DataFrame:
         *plain,
         F.when(failed, "failed").otherwise("ok").alias("status"),
         F.col("read_error").alias("error"),
+        "open_reason",
         *fields,
         F.struct("reads", "bytes_read", "passes").alias("stats"),
     )
