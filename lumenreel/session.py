@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,17 +20,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         context.setCheckpointDir(configured)
         return configured
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="lumenreel-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there, with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the checkpoint folder and go on from there, with its lineage cut.
+
+    Unlike a checkpoint, what is read again has the size of its files as its statistics; the estimate of the plan
+    that was cut would multiply with every round of a loop. ``instead_of`` is an earlier result of this function
+    that nothing needs any longer; its files are deleted.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    found = spark.read.schema(df.schema).parquet(folder)
+    found._written_to = folder
+    if instead_of is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(instead_of._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found
 
 
 def spread(df: DataFrame) -> DataFrame:
