@@ -25,6 +25,9 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, its lineage cut."""
-    return materialise(df)
+def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there, its lineage cut.
+
+    The files of ``instead_of``, an earlier result that nothing needs any longer, are deleted.
+    """
+    return materialise(df, instead_of)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_pairs, exact_dedup, fingerprints, jaccard_join, mixing, secret_scan, token_counts, token_shards, tool_links,
-    toxicity,
+    byte_pairs, exact_dedup, fingerprints, hard_negatives, jaccard_join, mixing, secret_scan, simhash, spelling,
+    token_counts, token_shards, tool_links, toxicity,
 )
 from .common import table
 
@@ -85,9 +85,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_tool_links, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_token_counts, op6_byte_pairs, op7_mixing,
-    op8_token_shards, op9_fingerprints, op10_jaccard_join,
+    op8_token_shards, op9_fingerprints, op10_jaccard_join, op11_hard_negatives, op12_simhash, op13_spelling,
 )}
 
 _ASSIGN = secret_scan.RULES[0].pattern.replace("'", "''")
@@ -114,6 +126,22 @@ def _gaps(kind: str, place: int, pattern: str, kept: str) -> str:
         )"""
 
 
+def _crc32(data: str) -> str:
+    """CRC-32 of a list of bytes, four bits at a time."""
+    rest = []
+    for number in range(16):
+        for _ in range(4):
+            number = number >> 1 ^ (0xEDB88320 if number & 1 else 0)
+        rest.append(number)
+    half = lambda x: f"xor(list_extract({rest}, ({x} & 15) + 1)::BIGINT, {x} >> 4)"
+    return f"xor(list_reduce({data}, lambda c, b: {half(half('xor(c, b)'))}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+#: UTF-8 of a string whose characters are below U+0800.
+_BYTES = """flatten(list_transform(string_split({0}, ''), lambda x: CASE
+    WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]::BIGINT[] END))"""
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 SQL = {
     "op1_tool_links": """
         WITH RECURSIVE calls AS (
@@ -174,4 +202,62 @@ SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_hard_negatives": """
+        WITH whole AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.q, r.q)::BIGINT AS score
+            FROM whole a JOIN whole r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+        ),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
+    "op13_spelling": f"""
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' AS doc, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+            WHERE length(run) >= 7 GROUP BY ALL
+        ),
+        hashed AS (SELECT run, n, {_crc32(_BYTES.format("doc || run"))} AS h FROM runs),
+        words AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT)
+                        ELSE run END AS word, sum(n)::BIGINT AS n
+            FROM hashed GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2
+        ),
+        holes AS (
+            SELECT word, n, place, substr(word, 1, place - 1) AS head, substr(word, place + 1) AS tail
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words)
+        ),
+        shorter AS (SELECT DISTINCT h.word AS long_word, h.n AS long_n, w.word, w.n FROM holes h JOIN words w ON h.head || h.tail = w.word),
+        near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n
+            FROM holes a JOIN holes b ON a.place = b.place AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+            UNION ALL SELECT long_word, long_n, word, n FROM shorter
+            UNION ALL SELECT word, n, long_word, long_n FROM shorter
+        ),
+        best AS (
+            SELECT word, count(*) OVER (PARTITION BY word) AS n_near,
+                   CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+            FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1
+        ),
+        steps AS (
+            SELECT word, word AS root FROM words
+            UNION SELECT s.word, b.form FROM steps s JOIN best b ON s.root = b.word WHERE b.form IS NOT NULL
+        ),
+        ends AS (SELECT s.word, s.root FROM steps s LEFT JOIN best b ON s.root = b.word WHERE b.form IS NULL)
+        SELECT word, n, coalesce(n_near, 0) AS n_near, form, form_n, root FROM words LEFT JOIN best USING (word) JOIN ends USING (word)
+    """,
 }
