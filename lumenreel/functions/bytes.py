@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .flow import empty, first_where, let, repeat
+from .flow import empty, first_where, gather, let, scanned
 
 WINDOW = "struct<off:bigint,len:bigint,data:binary>"
 WINDOWS = f"array<{WINDOW}>"
@@ -183,19 +183,13 @@ def find_all(text: Column, needle: str) -> Column:
     The needle must not overlap itself, so splitting on it visits every occurrence.
     """
     step = len(needle)
-    zero = F.struct(F.lit(0).alias("at"), empty("int").alias("hits"))
 
-    def advance(acc: Column, piece: Column) -> Column:
-        at = acc["at"] + F.char_length(piece)
-        return F.struct(
-            (at + step).alias("at"), F.concat(acc["hits"], F.array(at)).alias("hits")
-        )
+    def advance(start: Column, length: Column) -> Column:
+        return F.struct((start + length + step).alias("state"), (start + length).alias("item"))
 
     return let(
-        F.split(text, r"\Q" + needle + r"\E", -1),
-        lambda pieces: F.aggregate(
-            F.slice(pieces, F.lit(1), F.size(pieces) - 1), zero, advance, lambda acc: acc["hits"]
-        ),
+        F.transform(F.split(text, r"\Q" + needle + r"\E", -1), F.char_length),
+        lambda lengths: scanned(F.slice(lengths, F.lit(1), F.size(lengths) - 1), F.lit(0), advance, "int"),
     )
 
 
@@ -255,20 +249,13 @@ def box_at(wins: Column, pos: Column, limit: Column) -> Column:
 def walk_boxes(wins: Column, start: Column, limit: Column) -> Column:
     """Sibling boxes from ``start`` until the region ends or a header makes no sense (B2).
 
-    Headers are read from windows; the rounds suffice for 3 MB of nothing but headers.
+    Headers are read from windows; there are rounds for all headers that windows can hold.
     """
-    zero = F.struct(start.alias("pos"), empty(BOX).alias("out"))
 
-    def step(acc: Column) -> Column:
-        return let(
-            box_at(wins, acc["pos"], limit),
-            lambda b: F.struct(
-                b["data_end"].alias("pos"),
-                F.concat(acc["out"], F.array_compact(F.array(b))).alias("out"),
-            ),
-        )
+    def step(pos: Column) -> Column:
+        return let(box_at(wins, pos, limit), lambda b: F.struct(b["data_end"].alias("state"), b.alias("item")))
 
-    return repeat(zero, lambda acc: F.coalesce(acc["pos"] < limit, F.lit(False)), step)["out"]
+    return gather(start, lambda pos: F.coalesce(pos < limit, F.lit(False)), step, BOX)["out"]
 
 
 def child(boxes: Column, typ: str) -> Column:

@@ -80,6 +80,61 @@ def repeat(state: Column, going: Callable[[Column], Column], step: Callable[[Col
     return level(levels, state)
 
 
+#: Rounds and levels of :func:`gather`: over 2 ** 28, more than a value of 2 GiB has headers of eight bytes.
+FAN, DEPTH = 26, 6
+
+
+def _onto(acc: Column, state: Column, item: Column) -> Column:
+    return F.struct(state.alias("state"), F.concat(acc["out"], F.array_compact(F.array(item))).alias("out"))
+
+
+def gather(
+    state: Column, going: Callable[[Column], Column], step: Callable[[Column], Column], item: str, levels: int = DEPTH
+) -> Column:
+    """``struct(state, out)`` after ``step`` was applied while ``going`` holds, up to FAN ** levels times.
+
+    ``step`` gives ``struct(state, item)``; the items that aren't NULL, of type ``item``, are listed in ``out``. Every
+    level lists the short lists of the level below, so that an item is copied a fixed number of times.
+    """
+
+    def level(k: int, acc: Column) -> Column:
+        kind = item if k == 1 else f"array<{item}>"
+        zero = F.struct(acc.alias("state"), empty(kind).alias("out"))
+
+        def turn(x: Column) -> Column:
+            inner = step(x["state"]) if k == 1 else level(k - 1, x["state"])
+            return let(inner, lambda s: _onto(x, s["state"], s["item"] if k == 1 else s["out"]))
+
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(FAN)), zero, lambda x, _i: F.when(going(x["state"]), turn(x)).otherwise(x),
+            None if k == 1 else lambda x: F.struct(x["state"].alias("state"), F.flatten(x["out"]).alias("out")),
+        )
+
+    return level(levels, state)
+
+
+def scanned(values: Column, state: Column, step: Callable[[Column, Column], Column], item: str) -> Column:
+    """The items of ``step(state, value)`` = ``struct(state, item)`` along an array, slice by slice.
+
+    Slices are as long as there are slices, which bounds the copies of growing lists.
+    """
+
+    def run(part: Column, acc: Column, kind: str, turn: Callable[[Column, Column], Column]) -> Column:
+        zero = F.struct(acc.alias("state"), empty(kind).alias("out"))
+        return F.aggregate(part, zero, lambda x, v: let(turn(x["state"], v), lambda s: _onto(x, s["state"], s["item"])))
+
+    def sliced(bound: Column) -> Column:
+        each = F.greatest(F.ceil(F.sqrt(F.size(bound))).cast("int"), F.lit(1))
+
+        def inner(acc: Column, k: Column) -> Column:
+            part = F.slice(bound, (k * each + 1).cast("int"), each)
+            return let(run(part, acc, item, step), lambda s: F.struct(s["state"].alias("state"), s["out"].alias("item")))
+
+        return F.flatten(run(upto(F.ceil(F.size(bound) / each)), state, f"array<{item}>", inner)["out"])
+
+    return let(values, sliced)
+
+
 Step = tuple[str, Column]
 
 

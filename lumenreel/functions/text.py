@@ -96,7 +96,7 @@ def yes(flag: Column) -> Column:
 def classify() -> Column:
     """The library kind of a catalog row (F6); the order of the tests is the definition."""
     return (
-        F.when(F.col("status") == "failed", "problem")
+        F.when(F.col("status").isin("failed", "open"), "problem")
         .when(F.col("kind") == "video", "video")
         .when(F.col("companion_id").isNotNull(), "live")
         .when(yes(F.col("motion.playable")), "motion")
@@ -141,7 +141,7 @@ def badges() -> Column:
 def problem_text() -> Column:
     """Why a row cannot be played, or empty (F8)."""
     return (
-        F.when(F.col("status") == "failed", F.coalesce(F.col("error"), F.lit(UNREADABLE)))
+        F.when(F.col("status").isin("failed", "open"), F.coalesce(F.col("error"), F.lit(UNREADABLE)))
         .when(F.col("motion").isNull() | yes(F.col("motion.playable")), "")
         .when(
             yes(F.col("motion.found")), F.coalesce(F.col("motion.reason"), F.lit(NOT_EXTRACTED))

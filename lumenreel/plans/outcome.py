@@ -133,6 +133,13 @@ def probe_result() -> Column:
     no_region = null(routes.RANGE)
     read_more = (
         F.when(
+            f["unread"].isNotNull(),
+            request(
+                "segments", f["unread"], F.least(size - f["unread"], long(routes.SEGMENT_BYTES)), no_region,
+                routes.READ_SEGMENTS,
+            ),
+        )
+        .when(
             need.isNotNull(),
             request(
                 "window", need["off"], need["len"], F.when(~f["is_video"], cand["video"]),

@@ -41,6 +41,7 @@ SPLIT_REASON = "video payload is split across several extents"
 READ_HEADER = "read the video header"
 READING_HEADER = "reading the video header"
 READ_MOVIE = "read the movie box"
+READ_SEGMENTS = "read on in the JPEG header"
 READ_TABLE = "finish reading the HEIF item table"
 READ_TAIL = "motion photo declared but the video header is not in the tail window"
 READING_TAIL = "reading more of the file tail"
@@ -102,18 +103,33 @@ def _windows() -> Env:
     return {"wins": usable_windows(F.col("wins")), "size": F.col("size")}
 
 
+#: Longest marker segment with its marker, and the next marker behind it.
+SEGMENT_BYTES = 2 + 65535 + 4
+
+
 def structure_steps() -> list[Step]:
     """Columns ``found`` (container, facts, trailer, …), ``exif`` and ``tables``."""
 
     def kind(e: Env) -> Env:
         return {
             "sniffed": containers.sniff(e["wins"]),
-            "head": F.coalesce(F.get(e["wins"], F.lit(0))["data"], F.lit(bytearray())),
             "head_end": F.get(e["wins"], 0)["end"],
         }
 
     def top(e: Env) -> Env:
-        return {"boxes": containers.boxes_top(e["wins"], e["size"])}
+        return {
+            "boxes": containers.boxes_top(e["wins"], e["size"]),
+            "jpeg": F.when(e["sniffed"]["container"] == "jpeg", jpeg.jpeg_segments(e["wins"], e["walk"])),
+        }
+
+    def head(e: Env) -> Env:
+        first = F.get(e["wins"], F.lit(0))["data"]
+        return {
+            "head": F.coalesce(
+                F.when(e["jpeg"].isNotNull(), jpeg.header_text(e["wins"], e["jpeg"])), first, F.lit(bytearray())
+            ),
+            "unread": F.when(e["jpeg"].isNotNull(), jpeg.unread_from(e["wins"], e["size"], e["jpeg"])),
+        }
 
     def packet(e: Env) -> Env:
         return {
@@ -131,7 +147,6 @@ def structure_steps() -> list[Step]:
             "is_video": F.coalesce(
                 (container == "isobmff") & e["sniffed"]["brand"].isin(VIDEO_BRANDS), F.lit(False)
             ),
-            "jpeg": F.when(container == "jpeg", jpeg.jpeg_segments(e["wins"])),
             "meta": F.when(
                 container.isin("heif", "avif"), first_where(e["boxes"], lambda b: b["typ"] == "meta")
             ),
@@ -144,12 +159,12 @@ def structure_steps() -> list[Step]:
     def result(e: Env) -> Column:
         keep = (
             "container", "is_video", "head_end", "boxes", "facts", "directory", "trailer", "jpeg",
-            "meta", "clip",
+            "unread", "meta", "clip",
         )
         return named({k: e[k] for k in keep})
 
     found = step_columns(
-        _windows(), kind, top, packet, end, segments, out="found", result=result
+        {**_windows(), "walk": F.col("walk")}, kind, top, head, packet, end, segments, out="found", result=result
     )
     exif = jpeg.exif_steps(
         {"wins": usable_windows(F.col("wins")), "segments": F.col("found.jpeg.segments")}, "exif"
@@ -434,7 +449,7 @@ def clip_steps() -> list[Step]:
 
 
 def with_structures(df: DataFrame) -> DataFrame:
-    """Add ``found``, ``exif``, ``tables`` and ``cand`` to rows with ``wins`` and ``size``."""
+    """Add ``found``, ``exif``, ``tables`` and ``cand`` to rows with ``wins``, ``size`` and ``walk``."""
     df = apply_steps(df, cached_steps("structures", structure_steps))
     df = apply_steps(df, cached_steps("candidate", candidate_steps))
     return _without_temporaries(df)

@@ -12,6 +12,7 @@ from ..functions.bytes import WINDOW, join_windows, long, usable_windows, window
 from ..functions.flow import empty, let, null
 from ..operators.merge import merge_stages, upsert
 from ..session import materialise
+from ..structures import jpeg
 from ..structures.containers import sniff
 from . import outcome, rebuild, routes
 
@@ -32,7 +33,9 @@ LONGEST = 2**30 - 2**16
 NO_PROGRESS = "the range asked for was read and gave nothing new"
 TOO_LONG = "the range asked for is longer than one value can hold"
 
-# A reader adds ``got`` (array of window structs, one per entry of ``want``) and ``read_error``.
+# A reader adds ``got`` (array of window structs, one per entry of ``want``) and ``read_error``. Where ``follow`` is
+# set, it reads the JPEG header on from there, segment by segment, and appends what it has read: at least the headers
+# of the segments, and EXIF and packet segments as a whole.
 Reader = Callable[[DataFrame], DataFrame]
 
 
@@ -45,6 +48,15 @@ def content_reader(df: DataFrame) -> DataFrame:
             F.substring(F.col("content"), (r["off"] + 1).cast("int"), r["len"].cast("int")),
         ),
     )
+    if "follow" in df.columns:
+        # the header is in memory with the rest; what of it is missing is one window
+        whole = F.array(F.struct(long(0).alias("off"), F.col("size").alias("end"), F.col("content").alias("data")))
+        header = let(whole, lambda w: jpeg.jpeg_segments(w, F.col("walk")))["pos"]
+        more = let(
+            F.least(header + 4, F.col("size")) - F.col("follow"),
+            lambda n: window(F.col("follow"), F.substring(F.col("content"), (F.col("follow") + 1).cast("int"), n.cast("int"))),
+        )
+        got = F.concat(got, F.when(F.col("follow").isNotNull(), F.array(more)).otherwise(empty(WINDOW)))
     return df.withColumn("got", got).withColumn("read_error", null("string"))
 
 
@@ -94,6 +106,9 @@ def probe_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]
     rows = rows.withColumn("_ranges", F.struct(head_range.alias("h"), tail_range.alias("t")))
     rows = rows.withColumn("want", F.array_compact(F.array("_ranges.h", "_ranges.t", "mid_want")))
     read = _charge(reader(rows))
+    followed = F.when(
+        F.col("follow").isNotNull(), F.slice("got", F.size("want") + 1, F.greatest(F.size("got") - F.size("want"), F.lit(0)))
+    )
     new_head = F.when(F.col("_ranges.h").isNotNull(), F.get("got", F.lit(0)))
     new_tail = F.when(
         F.col("_ranges.t").isNotNull(),
@@ -103,13 +118,15 @@ def probe_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]
     read = read.withColumns(
         {
             "head": F.coalesce(new_head, "head"), "tail": F.coalesce(new_tail, "tail"),
-            "mids": join_windows(F.array_compact(F.concat("mids", F.array(new_mid)))),
+            "mids": join_windows(
+                F.array_compact(F.concat("mids", F.array(new_mid), F.coalesce(followed, empty(WINDOW))))
+            ),
         }
     ).withColumn("whole", F.coalesce(F.col("head.len") >= F.coalesce("tail.off", "size"), F.lit(False)))
     read = read.withColumn("wins", join_windows(F.array_compact(F.concat(F.array("head", "tail"), "mids")))).withColumn(
         "last_len", F.coalesce(F.col("tail.len"), F.col("head.len"), long(0))
     )
-    read = read.drop("want", "got", "_ranges").withColumn("passes", F.col("passes") + 1)
+    read = read.drop("want", "got", "_ranges", "follow").withColumn("passes", F.col("passes") + 1)
     seen = routes.with_structures(read)
     seen = seen.withColumns(
         {
@@ -117,6 +134,10 @@ def probe_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]
             "split": F.coalesce("cand.split", F.lit(False)),
             "fallback": F.coalesce("cand.fallback", F.lit(False)),
             "is_video": F.col("found.is_video"),
+            "walk": F.when(
+                F.col("found.jpeg").isNotNull(),
+                F.struct(F.col("found.jpeg.pos").alias("pos"), F.col("found.jpeg.segments").alias("segments")),
+            ).otherwise(F.col("walk")),
         }
     )
     seen = routes.with_clip(seen).drop("split", "fallback", "is_video", "wins")
@@ -129,7 +150,7 @@ def probe_pass(rows: DataFrame, reader: Reader, limits: Limits, carry: list[str]
     )
     keep = (
         (F.col("clip.attempt") == "tables") | undecided | F.col("clip.need").isNotNull()
-        | F.col("cand.ask_head").isNotNull()
+        | F.col("cand.ask_head").isNotNull() | F.col("found.unread").isNotNull()
     )
     slim = {c: F.when(keep, F.col(c)) for c in ["head", "tail", "mids", *carry]}
     settled = _settle(materialise(seen.withColumns(slim)))
@@ -152,7 +173,7 @@ def with_next(rows: DataFrame) -> DataFrame:
     more, last = F.col("result.read_more"), F.col("last_more")
     asks = F.coalesce(
         more.isNotNull() & F.col("read_error").isNull()
-        & (F.col("result.plan").isNull() | (more["reason"] == routes.READ_MOVIE)),
+        & (F.col("result.plan").isNull() | more["reason"].isin(routes.READ_MOVIE, routes.READ_SEGMENTS)),
         F.lit(False),
     )
     again = last.isNotNull()
@@ -217,7 +238,8 @@ def scan(
             "head": null(WINDOW), "tail": null(WINDOW),
             "head_want": long(limits.head_bytes), "tail_want": long(limits.tail_bytes),
             "reads": F.lit(0), "bytes_read": long(0), "passes": F.lit(0),
-            "mids": empty(WINDOW), "mid_want": null(routes.RANGE), "last_more": null(routes.READ_MORE),
+            "mids": empty(WINDOW), "mid_want": null(routes.RANGE), "follow": null("bigint"),
+            "walk": F.struct(long(2).alias("pos"), empty(jpeg.SEGMENT).alias("segments")), "last_more": null(routes.READ_MORE),
             "open_reason": null("string"), "read_error": null("string"),
         }
     )
@@ -237,6 +259,7 @@ def scan(
                 "head_want": F.when(more["target"] == "head", more["bytes"]).otherwise(F.col("head_want")),
                 "tail_want": F.when(more["target"] == "tail", more["bytes"]).otherwise(F.col("tail_want")),
                 "mid_want": F.when(more["target"] == "window", routes.span(more["off"], more["bytes"])),
+                "follow": F.when(more["target"] == "segments", more["off"]),
             }
         ).drop("_next", "result")
         if pending.isEmpty():
@@ -261,8 +284,8 @@ def _catalog_rows(df: DataFrame, plain: list[str]) -> DataFrame:
     failed = F.col("read_error").isNotNull()
     return df.select(
         *plain,
-        F.when(failed, "failed").otherwise("ok").alias("status"),
-        F.col("read_error").alias("error"),
+        F.when(failed, "failed").when(F.col("open_reason").isNotNull(), "open").otherwise("ok").alias("status"),
+        F.coalesce("read_error", "open_reason").alias("error"),
         "open_reason",
         *fields,
         F.struct("reads", "bytes_read", "passes").alias("stats"),

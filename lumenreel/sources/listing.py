@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -30,8 +32,18 @@ class Folder(InputPartition):
     deep: bool
 
 
-def _open(root: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+@cache
+def _store(prefix: str) -> tuple[pafs.FileSystem, str]:
+    """The client of a store, opened once per process, and the path of its root."""
+    return pafs.FileSystem.from_uri(prefix + "/") if prefix else (pafs.LocalFileSystem(), "")
+
+
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Client and path of a file, given as a plain path or with scheme and authority."""
+    scheme, mark, rest = uri.rpartition("://")
+    authority, slash, path = rest.partition("/") if mark else ("", "", rest)
+    filesystem, root = _store(f"{scheme}{mark}{authority}" if mark else "")
+    return filesystem, f"{root.rstrip('/')}{slash}{unquote(path)}" if mark else path
 
 
 class ListingReader(DataSourceReader):

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.bytes import (
-    long, part, read_at, starts_with, u8, u16, uint,
+    has, long, part, read_at, starts_with, u8, u16, uint,
 )
-from ..functions.flow import Env, Step, empty, last_where, let, named, null, repeat, step_columns, upto
+from ..functions.flow import Env, Step, empty, first_where, gather, last_where, let, named, null, repeat, step_columns, upto
 
+WALK = "struct<pos:bigint,segments:array<struct<marker:bigint,start:bigint,data_start:bigint,data_len:bigint>>>"
 SEGMENT = "struct<marker:bigint,start:bigint,data_start:bigint,data_len:bigint>"
 RANGE = "struct<off:bigint,len:bigint>"
 ENTRY = "struct<tag:bigint,typ:bigint,n:bigint,at:bigint,v8:bigint,v16:bigint,v32:bigint>"
@@ -23,20 +24,22 @@ TAG_SUB_IFD, TAG_TAKEN, TAG_NOTE, TAG_SUB_WIDTH, TAG_SUB_HEIGHT, TAG_LENS = (
 )
 
 
-def jpeg_segments(wins: Column) -> Column:
-    """``struct(segments, complete)``: marker segments up to the image data."""
-    zero = F.struct(
-        long(2).alias("pos"), empty(SEGMENT).alias("out"),
-        F.lit(False).alias("stopped"), F.lit(False).alias("complete"),
-    )
+def jpeg_segments(wins: Column, walk: Column | None = None) -> Column:
+    """``struct(segments, complete, pos, blind)``: marker segments up to the image data.
 
-    def state(pos: Column, out: Column, stopped: Column, complete: Column) -> Column:
-        return F.struct(
-            pos.alias("pos"), out.alias("out"), stopped.alias("stopped"), complete.alias("complete")
-        )
+    The walk stands at ``pos``. It is ``blind`` if the marker there isn't visible, or if it has made all its rounds;
+    it can go on from there with ``walk``, a ``WALK`` of a former pass, once more of the file is read. With ``walk``
+    only segments of EXIF and packets are kept.
+    """
+    pos = long(2) if walk is None else walk["pos"]
+    no, yes = F.lit(False), F.lit(True)
+
+    def state(pos: Column, stopped: Column, complete: Column, blind: Column, seg: Column | None = None) -> Column:
+        walked = F.struct(pos.alias("pos"), stopped.alias("stopped"), complete.alias("complete"), blind.alias("blind"))
+        return F.struct(walked.alias("state"), (null(SEGMENT) if seg is None else seg).alias("item"))
 
     def step(acc: Column) -> Column:
-        pos, out, yes, no = acc["pos"], acc["out"], F.lit(True), F.lit(False)
+        pos = acc["pos"]
         look = F.struct(
             u8(wins, pos).alias("mark"), u8(wins, pos + 1).alias("code"),
             u16(wins, pos + 2).alias("len"),
@@ -48,26 +51,52 @@ def jpeg_segments(wins: Column) -> Column:
                 code.alias("marker"), pos.alias("start"), (pos + 4).alias("data_start"),
                 (x["len"] - 2).alias("data_len"),
             )
-            after = pos + 2 + x["len"]
+            kept = seg if walk is None else F.when(code == 0xE1, seg)
             return (
-                F.when(x["mark"].isNull() | (x["mark"] != 0xFF) | code.isNull(), state(pos, out, yes, no))
-                .when(code == 0xFF, state(pos + 1, out, no, no))
-                .when(code.isin(0xDA, 0xD9), state(pos, out, yes, yes))
-                .when((code == 1) | code.between(0xD0, 0xD7), state(pos + 2, out, no, no))
-                .when(x["len"].isNull() | (x["len"] < 2), state(pos, out, yes, no))
-                .otherwise(
-                    state(after, F.concat(out, F.array(seg)), no, no)
-                )
+                F.when(x["mark"] != 0xFF, state(pos, yes, no, no))
+                .when(x["mark"].isNull() | code.isNull(), state(pos, yes, no, yes))
+                .when(code == 0xFF, state(pos + 1, no, no, yes))
+                .when(code.isin(0xDA, 0xD9), state(pos, yes, yes, no))
+                .when((code == 1) | code.between(0xD0, 0xD7), state(pos + 2, no, no, yes))
+                .when(x["len"].isNull(), state(pos, yes, no, yes))
+                .when(x["len"] < 2, state(pos, yes, no, no))
+                .otherwise(state(pos + 2 + x["len"], no, no, yes, kept))
             )
 
         return let(look, move)
 
+    start = F.struct(pos.alias("pos"), no.alias("stopped"), no.alias("complete"), yes.alias("blind"))
+    former = empty(SEGMENT) if walk is None else walk["segments"]
     walked = let(
-        repeat(zero, lambda acc: ~acc["stopped"], step),
-        lambda acc: F.struct(acc["out"].alias("segments"), acc["complete"].alias("complete")),
+        gather(start, lambda acc: ~acc["stopped"], step, SEGMENT),
+        lambda x: F.struct(
+            F.concat(former, x["out"]).alias("segments"), *(x["state"][k].alias(k) for k in ("complete", "pos", "blind"))
+        ),
     )
     return F.when(starts_with(wins, 0, b"\xff\xd8\xff"), walked).otherwise(
-        F.struct(empty(SEGMENT).alias("segments"), F.lit(False).alias("complete"))
+        F.struct(empty(SEGMENT).alias("segments"), no.alias("complete"), long(2).alias("pos"), no.alias("blind"))
+    )
+
+
+def unread_from(wins: Column, size: Column, jpeg: Column) -> Column:
+    """Where the header is to be read on: at an EXIF or packet segment that isn't all visible, else where the walk
+    is blind; NULL when nothing is missing."""
+    hidden = first_where(
+        jpeg["segments"],
+        lambda s: (s["marker"] == 0xE1) & (s["start"] < size)
+        & ~has(wins, s["start"], F.least(s["data_len"] + 4, size - s["start"])),
+    )
+    return F.coalesce(hidden["start"], F.when(jpeg["blind"] & (jpeg["pos"] < size), jpeg["pos"]))
+
+
+def header_text(wins: Column, jpeg: Column) -> Column:
+    """The bytes of the windows that begin in the header, one after the other."""
+    inside = F.filter(wins, lambda w: w["off"] <= jpeg["pos"])
+    return let(
+        inside,
+        lambda ws: F.when(F.size(ws) == 1, F.get(ws, 0)["data"]).otherwise(
+            F.aggregate(ws, F.lit(bytearray()), lambda acc, w: F.concat(acc, w["data"]))
+        ),
     )
 
 
