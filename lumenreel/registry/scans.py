@@ -205,12 +205,10 @@ SQL["stream_summary"] = "SELECT event_type AS library_kind, count(*) AS n FROM e
 @query("stream_pairs", None)
 def _(spark, sf):
     entries = cat.scannable(cat.to_entries(synth.library_files_from(stream_of(spark, sf, "documents"))))
-    pairs = incremental.scratch(spark, "pairs")
-    run = incremental.stream_pairs(
-        entries, incremental.scratch(spark, "entries"), pairs, incremental.scratch(spark, "pairs-state")
-    )
-    run.awaitTermination()
-    return incremental.current_pairs(spark, pairs)
+    store = incremental.scratch(spark, "pairs")
+    for run in incremental.stream_pairs(entries, store, incremental.scratch(spark, "pairs-state")):
+        run.awaitTermination()
+    return incremental.current_pairs(spark, store).select("file_id", "companion_id")
 
 
 SQL["stream_pairs"] = f"WITH {PAIRED} SELECT file_id, companion_id FROM lib"
@@ -223,3 +221,20 @@ def _(spark, sf):
     store = incremental.scratch(spark, "results")
     incremental.stream_scan(files, store, scan, incremental.scratch(spark, "scan-state")).awaitTermination()
     return routes(incremental.stored(spark, store))
+
+
+@query(
+    "stream_progress",
+    "SELECT 0 AS batch_id, count(*) AS done, sum(size)::BIGINT AS bytes, count(*) AS total_files, sum(size)::BIGINT AS total_bytes, 100.0::DOUBLE AS share FROM res",
+)
+def _(spark, sf):
+    """Files land in the catalog without a scan; what counts here is the progress of the stream."""
+    docs = stream_of(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    files = cat.to_entries(synth.media_files(docs).drop("file_id", "content"))
+    done = incremental.scratch(spark, "progress")
+    incremental.stream_scan(
+        files, incremental.scratch(spark, "listed"), lambda rows: rows, incremental.scratch(spark, "progress-state"), done
+    ).awaitTermination()
+    whole = cat.to_entries(synth.media_files(synth.document_rows(spark, sf)).drop("file_id", "content"))
+    total = whole.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return incremental.progress(spark, done, total).withColumn("batch_id", F.col("batch_id").cast("int"))

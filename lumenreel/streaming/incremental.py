@@ -1,8 +1,8 @@
 """Scanning, counting and pairing as files arrive.
 
-There is no event time here: results land one by one, counts follow, and pairs
-are formed again for the names a batch brings. Batches are stored under their id, so a repeated
-batch replaces itself.
+There is no event time here: results land one by one, counts follow, and the companions of the names a
+batch brings are settled again. What must be known of earlier batches is keyed state; batches are stored
+under their id, so a repeated batch replaces itself.
 """
 
 from __future__ import annotations
@@ -12,12 +12,11 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.names import pair_key
-from ..operators.pairing import pair_live
-from ..operators.skew import join_to_unique
 from ..session import ensure_checkpoint_dir
 
 
@@ -42,23 +41,27 @@ def write_batch(rows: DataFrame, store: str, batch_id: int) -> None:
 
 
 def stream_scan(
-    files: DataFrame, store: str, process: Callable[[DataFrame], DataFrame], checkpoint: str
+    files: DataFrame, store: str, process: Callable[[DataFrame], DataFrame], checkpoint: str,
+    progress_store: str | None = None,
 ) -> StreamingQuery:
     """Scan every file of a stream once and store its row.
 
-    ``process`` maps new file rows to catalog rows. A file seen in an earlier batch is skipped.
+    ``process`` maps new file rows to catalog rows. A file that was seen before is skipped: which ones were is keyed
+    state of the stream, one entry per file, so a batch costs what it brings and never reads the store. For many
+    files the state belongs in RocksDB (``spark.sql.streaming.stateStore.providerClass``). With ``progress_store``
+    every batch leaves a row of what it has done there (T3).
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["file_id"])
-        seen = stored(batch.sparkSession, store)
-        if seen is not None:
-            earlier = seen.filter(F.col("batch_id") != batch_id).select("file_id")
-            fresh = fresh.join(earlier, "file_id", "left_anti")
-        write_batch(process(fresh), store, batch_id)
+        seen = Observation()
+        rows = process(batch)
+        write_batch(rows if progress_store is None else observed(rows, seen), store, batch_id)
+        if progress_store is not None:
+            counts = [(int(seen.get["done"]), int(seen.get["bytes"]))]
+            write_batch(batch.sparkSession.createDataFrame(counts, "done long, bytes long"), progress_store, batch_id)
 
     return (
-        files.writeStream.foreachBatch(step)
+        files.dropDuplicates(["file_id"]).writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -71,7 +74,7 @@ def stream_summary(results: DataFrame, kind: str = "library_kind") -> DataFrame:
 
 
 def observed(df: DataFrame, observation: Observation) -> DataFrame:
-    """Count rows and bytes while they pass; read them with ``progress``."""
+    """Count rows and bytes while they pass."""
     return df.observe(
         observation,
         F.count("*").alias("done"),
@@ -79,38 +82,52 @@ def observed(df: DataFrame, observation: Observation) -> DataFrame:
     )
 
 
-def progress(observation: Observation, total: int) -> dict:
-    """Done, total, bytes and share of an observed scan."""
-    seen = observation.get
-    return {**seen, "total": total, "share": seen["done"] / total if total else 0.0}
+def progress(spark: SparkSession, progress_store: str, total: DataFrame) -> DataFrame:
+    """Per batch: files and bytes done so far, the totals and the share of the bytes in per cent.
 
-
-def stream_pairs(
-    files: DataFrame, entries_store: str, pairs_store: str, checkpoint: str
-) -> StreamingQuery:
-    """Form pairs again for the names of each batch, over all entries with those names (T4)."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch.dropDuplicates(["file_id"]), entries_store, batch_id)
-        entries = stored(batch.sparkSession, entries_store).filter(F.col("batch_id") <= batch_id)
-        keyed = entries.dropDuplicates(["file_id"]).withColumn("_key", pair_key(F.col("name")))
-        touched = batch.select(pair_key(F.col("name")).alias("_key")).distinct()
-        affected = join_to_unique(keyed, touched, "_key", "file_id", how="left_semi")
-        again = pair_live(affected.drop("_key", "batch_id"))
-        write_batch(again.select("file_id", "companion_id"), pairs_store, batch_id)
-
-    return (
-        files.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    ``total`` has one row: files, bytes. The running sums go over one row per batch.
+    """
+    upto = W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = spark.read.parquet(progress_store).select(
+        "batch_id", F.sum("done").over(upto).alias("done"), F.sum("bytes").over(upto).alias("bytes")
     )
+    wanted = total.select(F.col("files").alias("total_files"), F.col("bytes").alias("total_bytes"))
+    share = F.when(F.col("total_bytes") > 0, F.round(F.col("bytes") / F.col("total_bytes") * 100, 1)).otherwise(100.0)
+    return rows.join(F.broadcast(wanted.limit(1)), F.lit(True)).withColumn("share", share)
 
 
-def current_pairs(spark: SparkSession, pairs_store: str) -> DataFrame:
-    """The latest pairing of every file."""
-    latest = F.max_by(F.struct("companion_id"), "batch_id")
-    return (
-        spark.read.parquet(pairs_store).groupBy("file_id").agg(latest.alias("p"))
-        .select("file_id", "p.companion_id")
+def stream_pairs(files: DataFrame, store: str, checkpoint: str, order: str = "list_ord") -> list[StreamingQuery]:
+    """Keep the pairs of a growing library up to date (T4); two queries over the same stream of entries.
+
+    One keeps the smallest video of every pair key as keyed state and stores the keys that a batch touches, however
+    many stills have that key; counts of a frequent key are combined before they move. The other stores each file once
+    with its key. No batch reads what is stored, and no still is written again when its companion changes: pairs
+    are formed by ``current_pairs``.
+    """
+    video = F.coalesce(F.col("family_ext") == "video", F.lit(False))
+    key = pair_key(F.col("name"))
+    smallest = F.min_by(
+        F.struct(F.col("file_id").alias("companion_id"), F.col("size").alias("companion_size")), F.struct("size", order)
     )
+    best = files.filter(video).groupBy(key.alias("pair_key")).agg(smallest.alias("best"))
+    entries = files.dropDuplicates(["file_id"]).select("file_id", F.when(~video, key).alias("pair_key"))
+
+    def start(rows: DataFrame, what: str, mode: str) -> StreamingQuery:
+        return (
+            rows.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, f"{store}/{what}", batch_id))
+            .outputMode(mode).option("checkpointLocation", f"{checkpoint}/{what}")
+            .trigger(availableNow=True).start()
+        )
+
+    return [start(best, "best", "update"), start(entries, "entries", "append")]
+
+
+def current_pairs(spark: SparkSession, store: str) -> DataFrame:
+    """file_id, companion_id and companion_size of every file stored so far."""
+    entries, best = stored(spark, f"{store}/entries"), stored(spark, f"{store}/best")
+    if best is None:
+        return entries.select(
+            "file_id", F.lit(None).cast("string").alias("companion_id"), F.lit(None).cast("bigint").alias("companion_size")
+        )
+    latest = best.groupBy("pair_key").agg(F.max_by("best", "batch_id").alias("best"))
+    return entries.join(latest, "pair_key", "left").select("file_id", "best.companion_id", "best.companion_size")
