@@ -10,6 +10,9 @@ from ..functions import codecs, names, text
 from ..operators import catalog as cat
 from ..operators import pairing, quality
 from ..plans.routes import in_bounds
+from ..sources import store
+from ..sources.listing import files_from_manifest
+from ..streaming.incremental import scratch
 from ..structures import containers, items, packets, trailer
 
 EXTENSIONS_SQL = "['jpg','mov','HEIC','MP4','txt','jpeg','Mov','png','heic']"
@@ -94,7 +97,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = cat.scannable(entries(spark, sf_dir))
-    return synth.library_catalog(pairing.mark_companions(pairing.pair_live(shown)))
+    return synth.library_catalog(pairing.marked_pairs(shown))
 
 
 QUERIES: dict = {}
@@ -119,6 +122,20 @@ def on_catalog(name: str, sql: str, build) -> None:
     query(name, f"WITH {CATALOG} {sql}")(lambda spark, sf: build(catalog(spark, sf)))
 
 
+@query(
+    "manifest_intake",
+    f"WITH {FILES} SELECT list_ord, name, path, CASE WHEN doc_id % 7 = 2 THEN 0 ELSE size END AS size FROM files WHERE doc_id % 10 <> 3",
+)
+def _(spark, sf):
+    """A file list with gaps: names or paths alone, rows with neither, missing sizes."""
+    doc = F.col("doc_id")
+    listed = synth.library_files(spark, sf).select(
+        "list_ord", "path", "mtime_ms", F.when(doc % 5 != 3, F.col("name")).alias("name"),
+        F.when(doc % 7 != 2, F.col("size")).alias("size"),
+    )
+    return files_from_manifest(listed).select("list_ord", "name", "path", "size")
+
+
 # -- names and entries ----------------------------------------------------------------------------
 
 on_entries("entry_ext", "SELECT list_ord, name, ext FROM entries", lambda e: e.select("list_ord", "name", "ext"))
@@ -235,6 +252,34 @@ for _by in ("date-desc", "date-asc", "size-desc"):
         f"page_{_by.replace('-', '_')}", _page_sql(_by),
         lambda c, by=_by: cat.page(c, by, offset=cat.PAGE).select("file_id"),
     )
+
+
+def _stored_page(c: DataFrame) -> DataFrame:
+    folder = scratch(c.sparkSession, "pages")
+    store.write_pages(c.select("file_id", "size", "list_ord"), folder, "size-desc")
+    return store.read_page(c.sparkSession, folder, 600, 250).select("file_id", "size")
+
+
+on_catalog(
+    "stored_page",
+    "SELECT file_id, size FROM (SELECT file_id, size, row_number() OVER (ORDER BY size DESC, list_ord) AS rn FROM cat) WHERE rn > 600 AND rn <= 850",
+    _stored_page,
+)
+
+
+def _stored_catalog(c: DataFrame) -> DataFrame:
+    """Stored, then every file of a size class rescanned and put in place."""
+    folder = scratch(c.sparkSession, "catalog")
+    rows = c.select("file_id", "size", "status", "list_ord")
+    store.write_store(rows, folder, buckets=64)
+    store.upsert_store(folder, rows.filter("size % 3000 = 500").withColumn("status", F.lit("rescanned")))
+    return store.read_store(c.sparkSession, folder).select("file_id", "status")
+
+
+on_catalog(
+    "stored_catalog", "SELECT file_id, CASE WHEN size % 3000 = 500 THEN 'rescanned' ELSE status END AS status FROM cat",
+    _stored_catalog,
+)
 on_catalog(
     "sort_size_rank", "SELECT file_id, row_number() OVER (ORDER BY size DESC, list_ord) - 1 AS rank FROM cat",
     lambda c: cat.ranked(c.select("file_id", "size", "list_ord"), [F.col("size").desc(), F.col("list_ord")]).select("file_id", "rank"),
