@@ -73,7 +73,8 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     folder = token_shards.new_folder(spark)
     token_shards.write_shards(docs, folder, path, end_id=1)
-    found = token_shards.read_ids(token_shards.lookup(docs.select("doc_id"), folder), folder, path)
+    located = token_shards.lookup(docs.select("doc_id"), folder).unionByName(token_shards.unkeyed(spark, folder))
+    found = token_shards.read_ids(located, folder, path)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

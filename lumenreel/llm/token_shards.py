@@ -12,8 +12,8 @@ Slots store a 32-bit fingerprint of the key, so a strange key is refused (but fo
 place of the ids. A lookup hashes, reads one displacement and one slot: constant time.
 
 Defined results: a null text counts as empty; it has the end id only. Rows without doc_id come first; their ids
-are in the shards, but they have no key and no lookup gives them. Of rows with equal doc_id all are written, in
-the order of their texts; the key leads to the first. An empty table gives no shards and an index without keys.
+are in the shards, but they have no key; ``unkeyed`` lists them. Of rows with equal doc_id all are written, in
+the order of their texts; the key leads to the first, ``unkeyed`` lists the others. An empty table gives no shards and an index without keys.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +39,12 @@ from .common import texts
 
 #: Keys of a bucket and of a group, about.
 BUCKET, GROUP = 8192, 4
+#: Displacements that a group tries at a time.
+SEEDS = 16
 #: Words whose ids a worker keeps in each of two tables, and the longest of them.
 KEPT_WORDS, KEPT_LENGTH = 300_000, 48
-#: Texts whose new words are asked for at once.
-TEXTS = 64
+#: Bytes of texts that are encoded together, new words that are asked for at once.
+SLICE, ASKED = 2 << 20, 4096
 #: Bytes of ids that are gathered before they are written.
 PIECE = 4 << 20
 INDEX = "bucket int, n int, moves binary, prints binary, shards binary, offsets binary, lengths binary"
@@ -82,21 +85,37 @@ class WordCoder:
         cuts = [0, *(ends * int(self.kind[-1])).tolist(), len(ids)]
         return {w: ids[x:y] for w, x, y in zip(words, cuts[:-1], cuts[1:])}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [text.split(" ") for text in texts]
-        found = [list(map(self.kept.get, words)) for words in parts]
-        new = {w for words, f in zip(parts, found) if None in f for w, code in zip(words, f) if code is None}
+    def codes(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        found = list(map(self.kept.get, words))
+        new = [w for w, code in zip(words, found) if code is None]
         if new:
             known = {w: self.older[w] for w in new if w in self.older}
-            if unknown := [w for w in new if w not in known]:
-                known |= self.learn(unknown)
-            for k, f in enumerate(found):
-                if None in f:
-                    found[k] = [known[w] if code is None else code for w, code in zip(parts[k], f)]
+            unknown = [w for w in new if w not in known]
+            for at in range(0, len(unknown), ASKED):
+                known |= self.learn(unknown[at : at + ASKED])
+            found = [known[w] if code is None else code for w, code in zip(words, found)]
             if len(self.kept) + len(known) > KEPT_WORDS:
                 self.kept, self.older = {"": b""}, self.kept
             self.kept.update((w, c) for w, c in known.items() if len(w) <= KEPT_LENGTH)
-        return [b"".join(f) for f in found]
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, ``end_id`` behind each, and how many each text has.
+
+        The words of all texts are one column, of which Arrow makes a dictionary; only its words are looked up.
+        """
+        words = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        flat = words.flatten().dictionary_encode()
+        codes = self.codes(flat.dictionary.to_pylist())
+        sizes = np.array([0, *(len(c) // int(self.kind[-1]) for c in codes), 1])
+        values = np.append(np.frombuffer(b"".join(codes), dtype=self.kind), np.array(end_id, dtype=self.kind))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values))
+        starts = words.offsets.to_numpy() - words.offsets[0].as_py()
+        number = np.insert(flat.indices.to_numpy().astype(np.int64), starts[1:], len(codes))
+        ids = lists.take(pa.array(number)).flatten().to_numpy()
+        reached = np.append(0, np.cumsum(sizes[1:][number]))[starts + np.arange(len(starts))]
+        return ids, np.diff(reached)
 
 
 @lru_cache(maxsize=2)
@@ -108,28 +127,38 @@ def _shard(folder: str, number: int) -> str:
     return f"{folder}/ids-{number:08d}.bin"
 
 
+def _sliced(texts: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring texts of about ``SLICE`` bytes together."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+        yield texts[at:to]
+        at = to
+
+
 def _written(folder: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, number = coder_of(path), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype=coder.kind).tobytes()
         store, target = open_path(_shard(folder, number))
         partial, sink, offset, waiting, held = f"{target}.{uuid.uuid4().hex}", None, 0, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lengths = []
-            for at in range(0, batch.num_rows, TEXTS):
-                for ids in coder.encode(batch.column("text")[at : at + TEXTS].to_pylist()):
-                    waiting.append(ids + end)
-                    lengths.append(len(waiting[-1]) // len(end))
-                    held += len(waiting[-1])
-                    if held >= PIECE:
-                        sink = sink or store.open_output_stream(partial)
-                        sink.write(b"".join(waiting))
-                        waiting.clear()
-                        held = 0
-            starts = offset + np.cumsum([0, *lengths[:-1]])
-            offset += sum(lengths)
+            lengths, text = [], batch.column("text")
+            for part in _sliced(text):
+                ids, counts = coder.encode(part, end_id)
+                waiting.append(ids.tobytes())
+                lengths.append(counts)
+                held += len(waiting[-1])
+                if held >= PIECE:
+                    sink = sink or store.open_output_stream(partial)
+                    sink.write(b"".join(waiting))
+                    waiting.clear()
+                    held = 0
+            lengths = np.concatenate(lengths)
+            starts = offset + np.cumsum(lengths) - lengths
+            offset += int(lengths.sum())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([number] * batch.num_rows, pa.int32()), pa.array(starts, pa.int64()),
                  pa.array(lengths, pa.int64())], names=["doc_id", "shard", "offset", "n_tokens"],
@@ -163,25 +192,29 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
     sizes = np.bincount(of, minlength=groups)
     ends = np.cumsum(sizes)
     moves, free = np.zeros(groups, dtype="<i4"), np.ones(n, dtype=bool)
-    single = []
-    for g in np.argsort(-sizes, kind="stable"):
-        if sizes[g] < 2:
-            single.append(g)
-            continue
-        own = keys[order[ends[g] - sizes[g] : ends[g]]]
-        seed = 1
-        while True:
-            slots = (_mixed(own[None, :], np.arange(seed, seed + 16)[:, None]) % np.uint64(n)).astype(np.int64)
-            ordered = np.sort(slots, axis=1)
-            good = free[slots].all(axis=1) & (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
-            if good.any():
-                at = int(np.argmax(good))
-                moves[g], free[slots[at]] = seed + at, False
-                break
-            seed += 16
+    for size in range(int(sizes.max(initial=0)), 1, -1):
+        # all groups of a size look for places together; of those that want the same one the first gets it
+        open_groups, seed = np.flatnonzero(sizes == size), 1
+        own = keys[order[(ends[open_groups] - size)[:, None] + np.arange(size)]]
+        while len(open_groups):
+            seeds = np.arange(seed, seed + SEEDS)
+            slots = (_mixed(own[:, None, :], seeds[:, None]) % np.uint64(n)).astype(np.int64)
+            ordered = np.sort(slots, axis=2)
+            good = free[slots].all(axis=2) & (ordered[:, :, 1:] != ordered[:, :, :-1]).all(axis=2)
+            some = np.flatnonzero(good.any(axis=1))
+            first = good[some].argmax(axis=1)
+            wanted = slots[some, first]
+            taker = np.full(n, len(some))
+            np.minimum.at(taker, wanted.ravel(), np.repeat(np.arange(len(some)), size))
+            placed = (taker[wanted] == np.arange(len(some))[:, None]).all(axis=1)
+            moves[open_groups[some[placed]]] = seed + first[placed]
+            free[wanted[placed].ravel()] = False
+            left = np.setdiff1d(np.arange(len(open_groups)), some[placed])
+            open_groups, own = open_groups[left], own[left]
+            seed += SEEDS if not placed.any() else 0
+    single = np.flatnonzero(sizes == 1)
     places = np.flatnonzero(free)
-    for g, place in zip((g for g in single if sizes[g]), places):
-        moves[g] = -1 - place
+    moves[single] = -1 - places[: len(single)]
     return moves
 
 
@@ -222,6 +255,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
     before = F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))  # one row per shard
     shards.withColumn("before", F.coalesce(before, F.lit(0))).write.parquet(f"{folder}/manifest")
     keys = placed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("shard", "offset", "n_tokens")).alias("at"))
+    led_to = keys.select("at.shard", "at.offset")
+    placed.join(led_to, ["shard", "offset"], "left_anti").write.parquet(f"{folder}/unkeyed")
     buckets = max(1, -(-placed.count() // BUCKET))
     keys = keys.select("doc_id", "at.*", _bucket(buckets))
     keys.groupBy("bucket").applyInPandas(_index_rows, INDEX).withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/index")
@@ -256,6 +291,11 @@ def lookup(keys: DataFrame, folder: str) -> DataFrame:
     )
 
 
+def unkeyed(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard, offset and length of the rows that no key leads to: without doc_id, or with that of an earlier row."""
+    return spark.read.parquet(f"{folder}/unkeyed").select("doc_id", "shard", "offset", "n_tokens")
+
+
 def read_ids(located: DataFrame, folder: str, path: str) -> DataFrame:
     """Per located row: doc_id, start (ids of all documents before it), n_tokens, ids (4 bytes each).
 

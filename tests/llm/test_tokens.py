@@ -81,13 +81,17 @@ def test_shards(spark, odd_docs, no_docs, tmp_path):
     folder = f"file://{tmp_path}/shards"
     token_shards.write_shards(odd_docs, folder, WORDS, end_id=1)
     found = token_shards.read_ids(token_shards.lookup(odd_docs.select("doc_id"), folder), folder, WORDS)
-    library, at, want = Tokenizer.from_file(WORDS), 0, {}
+    rest = token_shards.read_ids(token_shards.unkeyed(spark, folder), folder, WORDS).collect()
+    library, at, want, others = Tokenizer.from_file(WORDS), 0, {}, []
     for r in sorted(odd_docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
         ids = library.encode(r.text or "", add_special_tokens=False).ids + [1]
         if r.doc_id is not None and r.doc_id not in want:
             want[r.doc_id] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        else:
+            others.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert {r.doc_id: (r.start, r.n_tokens, zlib.crc32(r.ids)) for r in found.collect()} == want
+    assert Counter((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in rest) == Counter(others) and len(others) == 4
     strange = spark.createDataFrame([(99,), (-99,), (None,), (4,)], "doc_id long")
     assert [r.doc_id for r in token_shards.lookup(strange, folder).collect()] == [4]
     empty = f"file://{tmp_path}/empty"
