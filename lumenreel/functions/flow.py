@@ -80,12 +80,8 @@ def repeat(state: Column, going: Callable[[Column], Column], step: Callable[[Col
     return level(levels, state)
 
 
-#: Rounds and levels of :func:`gather`: over 2 ** 28, more than a value of 2 GiB has headers of eight bytes.
-FAN, DEPTH = 26, 6
-
-
-def _onto(acc: Column, state: Column, item: Column) -> Column:
-    return F.struct(state.alias("state"), F.concat(acc["out"], F.array_compact(F.array(item))).alias("out"))
+#: Rounds and levels of :func:`gather`: 2 ** 28, as many as a value of 2 GiB has headers of eight bytes.
+FAN, DEPTH = 128, 4
 
 
 def gather(
@@ -94,25 +90,35 @@ def gather(
     """``struct(state, out)`` after ``step`` was applied while ``going`` holds, up to FAN ** levels times.
 
     ``step`` gives ``struct(state, item)``; the items that aren't NULL, of type ``item``, are listed in ``out``. Every
-    level lists the short lists of the level below, so that an item is copied a fixed number of times.
+    level lists the results of the level below, of which the last one has the state. Lists stay short, so that an
+    item is copied a fixed number of times.
     """
 
     def level(k: int, acc: Column) -> Column:
-        kind = item if k == 1 else f"array<{item}>"
-        zero = F.struct(acc.alias("state"), empty(kind).alias("out"))
+        first, name = (null(item), "item") if k == 1 else (empty(item), "out")
+        inner = step if k == 1 else (lambda x: level(k - 1, x))
 
         def turn(x: Column) -> Column:
-            inner = step(x["state"]) if k == 1 else level(k - 1, x["state"])
-            return let(inner, lambda s: _onto(x, s["state"], s["item"] if k == 1 else s["out"]))
+            last = F.element_at(x, -1)["state"]
+            return F.when(going(last), F.concat(x, F.array(inner(last)))).otherwise(x)
 
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(FAN)), zero, lambda x, _i: F.when(going(x["state"]), turn(x)).otherwise(x),
-            None if k == 1 else lambda x: F.struct(x["state"].alias("state"), F.flatten(x["out"]).alias("out")),
-        )
+        def listed(x: Column) -> Column:
+            found = F.transform(x, lambda r: r[name])
+            return F.struct(
+                F.element_at(x, -1)["state"].alias("state"),
+                (F.array_compact(found) if k == 1 else F.flatten(found)).alias("out"),
+            )
+
+        zero = F.array(F.struct(acc.alias("state"), first.alias(name)))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(FAN)), zero, lambda x, _i: turn(x), listed)
 
     return level(levels, state)
 
 
+def _onto(acc: Column, state: Column, item: Column) -> Column:
+    return F.struct(state.alias("state"), F.concat(acc["out"], F.array_compact(F.array(item))).alias("out"))
+
+
 def scanned(values: Column, state: Column, step: Callable[[Column, Column], Column], item: str) -> Column:
     """The items of ``step(state, value)`` = ``struct(state, item)`` along an array, slice by slice.
 
@@ -174,10 +180,23 @@ def fence(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+#: Setting of how often the analyzer goes over an expression at most.
+ITERATIONS = "spark.sql.analyzer.maxIterations"
+
+
 def apply_steps(df: DataFrame, steps: list[Step]) -> DataFrame:
-    """Add the columns of ``steps`` in order."""
-    for name, column in steps:
-        df = df.withColumn(name, column)
+    """Add the columns of ``steps`` in order.
+
+    The analyzer resolves nested functions from the inside, one level in about two of its iterations.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(ITERATIONS)
+    conf.set(ITERATIONS, str(max(int(before), 400)))
+    try:
+        for name, column in steps:
+            df = df.withColumn(name, column)
+    finally:
+        conf.set(ITERATIONS, before)
     return df
 
 

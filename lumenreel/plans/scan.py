@@ -79,6 +79,11 @@ def requested_ranges(limits: Limits) -> tuple[Column, Column]:
 def _charge(df: DataFrame) -> DataFrame:
     got = F.col("got")
     spent = F.aggregate(got, long(0), lambda a, w: a + w["len"])
+    wanted = F.aggregate(F.col("want"), long(0), lambda a, w: a + w["len"])
+    if "follow" in df.columns:
+        # segments say how long they are only as they are read; all of them end before the file does
+        wanted = wanted + F.coalesce(F.col("size") - F.col("follow"), long(0))
+    df = df.withColumn("asked", F.col("asked") + F.coalesce(wanted, long(0)))
     return df.withColumn("reads", F.col("reads") + F.size(got)).withColumn(
         "bytes_read", F.col("bytes_read") + F.coalesce(spent, long(0))
     )
@@ -237,7 +242,7 @@ def scan(
         {
             "head": null(WINDOW), "tail": null(WINDOW),
             "head_want": long(limits.head_bytes), "tail_want": long(limits.tail_bytes),
-            "reads": F.lit(0), "bytes_read": long(0), "passes": F.lit(0),
+            "reads": F.lit(0), "bytes_read": long(0), "asked": long(0), "passes": F.lit(0),
             "mids": empty(WINDOW), "mid_want": null(routes.RANGE), "follow": null("bigint"),
             "walk": F.struct(long(2).alias("pos"), empty(jpeg.SEGMENT).alias("segments")), "last_more": null(routes.READ_MORE),
             "open_reason": null("string"), "read_error": null("string"),
@@ -288,7 +293,7 @@ def _catalog_rows(df: DataFrame, plain: list[str]) -> DataFrame:
         F.coalesce("read_error", "open_reason").alias("error"),
         "open_reason",
         *fields,
-        F.struct("reads", "bytes_read", "passes").alias("stats"),
+        F.struct("reads", "bytes_read", "passes", "asked").alias("stats"),
     )
 
 

@@ -310,8 +310,8 @@ on_catalog(
     lambda c: cat.read_share(cat.scan_totals(c)),
 )
 on_catalog(
-    "check_reads", "SELECT file_id, reads, bytes_read FROM cat WHERE reads > 2 OR bytes_read > 20000",
-    lambda c: quality.check_reads(c, 2, 20000),
+    "check_reads", "SELECT file_id, reads, bytes_read FROM cat WHERE bytes_read > reads * 5000",
+    lambda c: quality.check_reads(c.withColumn("stats", F.col("stats").withField("asked", F.col("stats.reads") * 5000))),
 )
 
 # -- text -------------------------------------------------------------------------------------------

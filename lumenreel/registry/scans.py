@@ -13,7 +13,7 @@ from ..session import materialise
 from ..sources.sinks import report_json
 from ..streaming import incremental
 from .library import PAIRED
-from .structures import MEDIA
+from .structures import MEDIA, PACKET_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -131,6 +131,40 @@ def _(spark, sf):
     )
 
 
+@query(
+    "planted_faults",
+    """SELECT doc_id, rule FROM res, (VALUES ('bounds', 2), ('literals', 3), ('still', 5), ('reads', 7)) f(rule, every)
+      WHERE doc_id % every = 0 AND CASE rule WHEN 'bounds' THEN kind <> 'photo' WHEN 'literals' THEN kind <> 'photo'
+        WHEN 'still' THEN shape LIKE 'jpeg-%' ELSE true END""",
+)
+def _(spark, sf):
+    """Slices moved out of their file, long literals, stills that reach into the clip, reads over the need: each check
+    names the rows that were spoilt for it and no others."""
+    rows = scanned(spark, sf).withColumn("file_id", F.col("list_ord"))
+    doc, long_literal = F.col("list_ord"), quality.MAX_LITERAL
+
+    def parts(change):
+        return F.col("plan").withField("parts", F.transform("plan.parts", change))
+
+    beyond = parts(lambda p: F.when(p["t"] == "slice", p.withField("off", F.col("size") - p["len"] + 1)).otherwise(p))
+    literal = F.struct(
+        F.lit("lit").alias("t"), F.lit(None).cast("binary").alias("lit"), F.lit(None).cast("bigint").alias("off"),
+        F.lit(long_literal).cast("bigint").alias("len"),
+    )
+    spoilt = {
+        "bounds": (2, "plan", beyond, quality.check_bounds),
+        "literals": (3, "plan", F.col("plan").withField("parts", F.concat("plan.parts", F.array(literal))), quality.check_literals),
+        "still": (5, "still", F.col("still").withField("length", F.col("motion.video.off") + 1), quality.check_still),
+        "reads": (7, "stats", F.col("stats").withField("bytes_read", F.col("stats.asked") + 1), quality.check_reads),
+    }
+    found = None
+    for rule, (every, column, fault, check) in spoilt.items():
+        bad = rows.withColumn(column, F.when((doc % every == 0) & F.col(column).isNotNull(), fault).otherwise(F.col(column)))
+        row = check(bad).select(F.col("file_id").alias("doc_id"), F.lit(rule).alias("rule")).distinct()
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 @query(
     "scan_quality",
     "SELECT 'bounds' AS rule, 0 AS broken UNION ALL SELECT 'literals', 0 UNION ALL SELECT 'still', 0 UNION ALL SELECT 'reads', 0 UNION ALL SELECT 'plain stills', 0 UNION ALL SELECT 'kinds', 0",
@@ -163,6 +197,23 @@ def _(spark, sf):
     return routes(scanned(spark, sf, NARROW)).select(*LABELS)
 
 
+@query(
+    "scan_long_headers",
+    f"""SELECT doc_id, 'motion' AS kind, 'xmp-directory' AS method, lang AS make, doc_id % 8 + 1 AS orientation, NULL::VARCHAR AS open_reason,
+      doc_id % 21 * {synth.LEAD + synth.SEGMENT_HEAD} + strlen(source) + 429 + pk AS video_off, clip AS video_len, true AS read_within_size
+    FROM (SELECT *, {PACKET_SQL} AS pk FROM (SELECT * EXCLUDE (shape), 'jpeg-directory' AS shape FROM base))""",
+)
+def _(spark, sf):
+    """Packets far behind the first read: the header is followed segment by segment; only what the first reads
+    saw may be read again."""
+    files = cat.to_entries(synth.long_header_files(synth.document_rows(spark, sf)))
+    return scan(files, limits=NARROW).select(
+        F.col("list_ord").alias("doc_id"), "kind", "motion.method", "meta.make", "meta.orientation", "open_reason",
+        F.col("motion.video.off").alias("video_off"), F.col("motion.video.len").alias("video_len"),
+        (F.col("stats.bytes_read") <= F.col("size") + NARROW.head_bytes + NARROW.tail_bytes).alias("read_within_size"),
+    )
+
+
 @query("deep_scan", LABELS_SQL)
 def _(spark, sf):
     """Rescan of the files that small windows left without a plan."""

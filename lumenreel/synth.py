@@ -290,6 +290,32 @@ def _content(front: bool) -> Column:
     return out
 
 
+#: Bytes in a segment that ``long_header_files`` puts before the others, and of its header.
+LEAD, SEGMENT_HEAD = 3000, 4
+
+
+def long_header_files(docs: DataFrame) -> DataFrame:
+    """One photo per document whose directory packet comes behind 0 to 20 segments of ``LEAD`` bytes."""
+    rows = docs.select(
+        "doc_id", "lang", "source", F.encode("text", "UTF-8").alias("payload"), (F.col("doc_id") % 3 + 1).alias("chunks"),
+    )
+    exif = exif_segment(
+        F.col("lang"), F.concat(F.col("source"), F.lit("-camera")), F.lit("2020:01:01 00:00:00"), F.col("doc_id") % 8 + 1
+    )
+    whole = clip(F.col("payload"), F.col("chunks"), True)
+    still_len = F.octet_length("source") + 188 + 2 + 4 + STILL_BYTES + 2
+    clip_len = F.length("payload") + F.col("chunks") * 12 + 516
+    packet = packet_segment(directory_packet(clip_len, still_len, F.col("doc_id") * 1000 + 250))
+    segment = b"\xff\xe2" + (LEAD + 2).to_bytes(2, "big") + repeat(b"p", LEAD)
+    lead = F.unhex(F.repeat(F.lit(segment.hex()), (F.col("doc_id") % 21).cast("int")))
+    tail = b"\xff\xda\x00\x02" + repeat(b"s", STILL_BYTES) + b"\xff\xd9"
+    name = F.concat(F.lit("LONG_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
+    return rows.select(
+        F.col("doc_id").alias("list_ord"), name.alias("name"), name.alias("path"), F.lit(MTIME_BASE_MS).alias("mtime_ms"),
+        cat(b"\xff\xd8", lead, exif, packet, tail, whole).alias("content"),
+    ).withColumn("size", F.length("content").cast("bigint"))
+
+
 def whole_windows(files: DataFrame) -> DataFrame:
     """Files with one window over everything."""
     return files.withColumn("wins", F.array(window(F.lit(0), F.col("content"))))
