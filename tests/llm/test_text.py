@@ -125,13 +125,26 @@ def brute_levels(calls):
         level |= new
 
 
-def test_levels(spark):
+def test_levels(spark, monkeypatch):
     calls = {f"n{k}": [f"n{k - 1}"] for k in range(1, 70)} | {"n0": [], "x": ["n3", "n40"], "y": ["x", "n69"], "z": ["y", "z"], "p": ["q"], "q": ["p"], "r": ["q", "n1"]}
     for conv in (1, None):
-        nodes = spark.createDataFrame([(conv, c) for c in calls], "conv_id long, call_id string")
+        nodes = spark.createDataFrame([(conv, c, k if k % 5 else None) for k, c in enumerate(calls)], "conv_id long, call_id string, turn long")
         edges = spark.createDataFrame([(conv, c, n) for c, ns in calls.items() for n in ns], "conv_id long, child string, parent string")
-        found = tool_links.levels(nodes, edges).collect()
-        assert {r.call_id: r.level for r in found} == brute_levels(calls) and len(found) == len(brute_levels(calls))
+        for span, far in ((4096, 64), (16, 64), (3, 1)):
+            monkeypatch.setattr(tool_links, "FAR", far)
+            found = tool_links.levels(nodes, edges, span).collect()
+            assert {r.call_id: r.level for r in found} == brute_levels(calls) and len(found) == len(brute_levels(calls))
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 calls that need the two before them: a round per slot of turns, not per call."""
+    rounds = []
+    ready = tool_links._ready
+    monkeypatch.setattr(tool_links, "_ready", lambda *x: rounds.append(1) or ready(*x))
+    calls = spark.range(10_000).select(F.lit(1).cast("long").alias("conv_id"), F.concat(F.lit("c"), "id").alias("call_id"), F.col("id").alias("turn"))
+    needs = [calls.filter(F.col("turn") >= k).select("conv_id", F.col("call_id").alias("child"), F.concat(F.lit("c"), F.col("turn") - k).alias("parent")) for k in (1, 2)]
+    found = tool_links.levels(calls, needs[0].unionByName(needs[1])).selectExpr("substring(call_id, 2) = level as same").groupBy("same").count().collect()
+    assert [(r["same"], r["count"]) for r in found] == [(True, 10_000)] and len(rounds) <= 6
 
 
 def test_linked(spark):
