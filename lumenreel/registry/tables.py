@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import synth
 from ..operators import items as item_ops
+from ..operators import tables as sliced
 from ..operators import merge, placement, quality
 from ..operators.blocks import as_of
 
@@ -316,3 +317,23 @@ def _(spark, sf):
     claim = F.when(F.col("o_custkey") % 2 == 0, F.col("q")).otherwise(7)
     expected = orders.select("name", claim.alias("video_off"), claim.alias("video_len"))
     return quality.check_expected(catalog, expected, key="name").select("name", "matches")
+
+
+@query(
+    "sliced_chunk_bytes",
+    """SELECT doc_id, (i - 1) // (doc_id % 7 + 1) AS ord, sum(('0x' || v)::BIGINT)::BIGINT AS bytes
+      FROM (SELECT doc_id, unnest(cells) AS v, generate_subscripts(cells, 1) AS i
+            FROM (SELECT doc_id, regexp_extract_all(hex(text), '[0-9A-F]{8}') AS cells FROM documents)) GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Texts as tables of 4-byte cells, read and summed in slices of 512 cells; chunks have 1 to 7 cells."""
+    docs = synth.document_rows(spark, sf).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    found = docs.select(
+        "doc_id", "content", F.lit(0).cast("bigint").alias("at"), F.floor(F.length("content") / 4).alias("count"), F.lit(4).alias("width")
+    )
+    keys, cells, per = ["doc_id"], 512, F.col("doc_id") % 7 + 1
+    summed = sliced.with_sums(sliced.read_slices(sliced.table_slices(found, keys, cells), keys), keys)
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("count") - 1) / per)))
+    chunks = found.filter("count > 0").select("doc_id", per.alias("per"), number.alias("ord"))
+    chunks = chunks.withColumn("first_sample", F.col("ord") * F.col("per"))
+    return sliced.sliced_chunk_bytes(chunks, summed, keys, cells).select("doc_id", "ord", "bytes")
