@@ -37,9 +37,18 @@ res AS (SELECT m.*, c.moov_off, c.payload_at,
    FROM media m LEFT JOIN (SELECT doc_id, moov_off, payload_at FROM clips) c USING (doc_id))"""
 
 
+def _files(spark: SparkSession, sf: str) -> tuple:
+    """Name, size and time of the files of the documents."""
+    found = synth.table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return tuple(sorted(map(tuple, found.distinct().collect())))
+
+
 def scanned(spark: SparkSession, sf: str, limits: Limits = DEFAULT) -> DataFrame:
-    """The scan of all derived files; its passes are already written, so queries can share it."""
-    key = (spark.sparkContext.applicationId, sf, limits)
+    """The scan of all derived files; its passes are already written, so queries can share it.
+
+    It is taken again when the files of the table have changed.
+    """
+    key = (spark.sparkContext.applicationId, _files(spark, sf), limits)
     if key not in _scanned:
         files = synth.media_files(synth.document_rows(spark, sf))
         _scanned[key] = materialise(scan(cat.to_entries(files.drop("file_id")), limits=limits))

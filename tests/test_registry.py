@@ -16,6 +16,7 @@ FAST = [
     "trailer_range", "packet_facts", "directory_items", "exif_tags", "heif_items", "movie_boxes",
     "tracks", "place_directory_items", "directory_video", "best_video_item", "primary_dims",
     "chunk_bytes", "media_spans", "codec_strings", "integers_from_bytes", "stream_summary", "stream_pairs",
+    "stored_page", "stored_catalog", "manifest_intake", "stream_progress", "check_reads",
 ]
 
 
