@@ -1,6 +1,7 @@
 """JPEG headers longer than the first read."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenreel.operators import catalog as cat
 from lumenreel.plans.scan import Limits, content_reader, scan
@@ -98,7 +99,7 @@ def test_open_rows_are_problems(spark, files):
     table = spark.createDataFrame(row, "list_ord long, path string, name string, size long, mtime_ms long, content binary")
 
     def blind(rows):
-        return content_reader(rows.drop("follow"))
+        return content_reader(rows.withColumn("follow", F.lit(None).cast("bigint")))
 
     found = cat.with_kind(cat.finish_catalog(scan(cat.to_entries(table), blind, Limits()))).first()
     assert (found["status"], found["library_kind"]) == ("open", "problem") and found["error"] == found["open_reason"]
