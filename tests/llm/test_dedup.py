@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -6,6 +7,7 @@ import pytest
 from lumenreel.llm import components, exact_dedup, jaccard_join
 
 from .brute import brute_components
+from .conftest import words
 
 
 def brute_groups(rows):
@@ -72,6 +74,12 @@ def test_jaccard_join(near_docs, odd_docs, no_docs, monkeypatch):
     rows = [(r.doc_id, r.text) for r in near_docs.collect()]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.joined(near_docs).collect())
     assert got == brute_components(rows)
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    monkeypatch.setattr(jaccard_join, "WIDE", 8)
+    monkeypatch.setattr(jaccard_join, "EXPANDED", 50)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.joined(near_docs).collect())
+    assert got == brute_components([(r.doc_id, r.text) for r in near_docs.collect()])
     assert jaccard_join.joined(no_docs).count() == 0
 
 
@@ -80,3 +88,34 @@ def test_one_of_each(near_docs):
     kept = jaccard_join.one_of_each(near_docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
     assert kept.columns == near_docs.columns
+
+
+def test_jaccard_join_of_combined_passages(spark):
+    """Texts of two of a few passages share half their shingles, those of one group nearly enough of them."""
+    pick, rows = random.Random(3), []
+    passages = [words(9000 + k, 60) for k in range(9)]
+    for k in range(320):
+        if k % 2:
+            text = [*passages[k % 9], *passages[pick.randrange(9)], *words(9100 + k, pick.randint(0, 3))]
+        else:
+            text = words(9099, 150)
+            for _ in range(pick.randint(2, 6)):
+                text[pick.randrange(150)] = "edit%d" % pick.randrange(10**6)
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.joined(docs).collect())
+    assert got == brute_components(rows)
+    assert 1 < len({c for _, _, c in got}) < len(rows)
+
+
+def test_jaccard_join_hands_on_fewer_links_than_rows():
+    """A tile of a group of near copies, all of them linked: one link less than sets."""
+    import numpy as np
+    import pandas as pd
+
+    base = np.arange(100, dtype="<u8")
+    rows = pd.DataFrame(
+        {"node": range(300), "n": 101, "root": range(300), "second": False,
+         "shared": [np.append(base, np.uint64(1000 + k)).astype("<u8").tobytes() for k in range(300)]}
+    )
+    assert len(jaccard_join._tile_links(rows)) == 299
