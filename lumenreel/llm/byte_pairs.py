@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 
 from .common import texts
 
-#: Pieces in each of a worker's two tables, and the longest of them in characters.
-KEPT_PIECES = 400_000
+#: Bytes of each of a worker's two tables, what an entry takes besides its letters and ids, and the longest piece kept.
+KEPT_BYTES = 20_000_000
+ENTRY_BYTES = 240
 KEPT_LENGTH = 48
 #: Fixed pattern of the byte-level split that the vocabulary was made for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,6 +68,7 @@ class BytePairs:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
         self.pieces = regex.compile(SPLIT)
+        self.kept_bytes = 0
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -103,9 +105,10 @@ class BytePairs:
                 ids = self.merged([self.of_byte[b] for b in piece.encode()])
                 found = pack(f"<{len(ids)}I", *ids)
             if len(piece) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_PIECES:
-                    self.kept, self.older = {}, self.kept
+                if self.kept_bytes >= KEPT_BYTES:
+                    self.kept, self.older, self.kept_bytes = {}, self.kept, 0
                 self.kept[piece] = found
+                self.kept_bytes += ENTRY_BYTES + 2 * len(piece) + len(found)
         return found
 
     def plain(self, text: str) -> bytes:
