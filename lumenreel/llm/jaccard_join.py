@@ -40,11 +40,11 @@ from .components import components
 from .shingles import set_digest, shingle_sets
 
 #: Shingles gathered before a task hands on a row per block.
-GATHERED = 1_000_000
+GATHERED = 250_000
 #: Columns up to this length are multiplied as a whole at once; longer ones meet this many hubs first.
 SHORT, HUBS = 48, 6
 #: Cells of a block, about.
-BLOCK = 2_000_000
+BLOCK = 4_000_000
 #: Sets and cells of a slice, about; a tile is two slices. Dense columns and counted cells that are looked at together.
 TILE, TILE_CELLS, WIDE, EXPANDED = 1024, 1_000_000, 2048, 1_000_000
 
